@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality_rules
+from corpusloom.llm import bpe, quality_rules
 
-QUERIES = {"op9_quality_rules": quality_rules.query}
+QUERIES = {
+    "op2_bpe": bpe.query,
+    "op9_quality_rules": quality_rules.query,
+}
 ORACLES: dict[str, str] = {}
