@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, quality_rules
+from corpusloom.llm import bpe, quality_rules, secrets
 
 QUERIES = {
     "op2_bpe": bpe.query,
+    "op3_secrets": secrets.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLES: dict[str, str] = {}
