@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, quality_rules, secrets
+from corpusloom.llm import bpe, quality_rules, secrets, warc
 
 QUERIES = {
     "op2_bpe": bpe.query,
     "op3_secrets": secrets.query,
+    "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE}
