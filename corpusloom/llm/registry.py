@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, quality_rules, secrets, warc
+from corpusloom.llm import bpe, quality_model, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
     "op2_bpe": bpe.query,
     "op3_secrets": secrets.query,
+    "op4_toxicity": toxicity.query,
+    "op6_quality_model": quality_model.query,
     "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
 }
