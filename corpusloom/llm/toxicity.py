@@ -29,10 +29,17 @@ from corpusloom.llm.common import table
 from corpusloom.llm.quality_model import fold
 
 TERM = re.compile(r"\w+")
+STEMS = (5, 7)
 
 
 def terms(text: str | None) -> Counter:
-    return Counter(TERM.findall(text.lower())) if text else Counter()
+    """Words and, for inflected forms, the stems of 5 and 7 letters that longer words begin with."""
+    found = Counter(TERM.findall(text.lower())) if text else Counter()
+    for w, c in list(found.items()):
+        for size in STEMS:
+            if len(w) > size:
+                found[w[:size] + "-"] += c
+    return found
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
