@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, quality_model, quality_rules, secrets, toxicity, warc
+from corpusloom.llm import bpe, ngram_join, quality_model, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
     "op2_bpe": bpe.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_quality_model": quality_model.query,
     "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_ngram_join": ngram_join.query,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
