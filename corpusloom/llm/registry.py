@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, ngram_join, quality_model, quality_rules, secrets, toxicity, warc
+from corpusloom.llm import bpe, line_dedup, ngram_join, quality_model, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_bpe": bpe.query,
     "op3_secrets": secrets.query,
     "op4_toxicity": toxicity.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_ngram_join": ngram_join.query,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
