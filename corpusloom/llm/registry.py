@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, line_dedup, ngram_join, quality_model, quality_rules, secrets, toxicity, warc
+from corpusloom.llm import bpe, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.query,
     "op4_toxicity": toxicity.query,
     "op6_quality_model": quality_model.query,
+    "op7_packing": packing.query,
     "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
     "op10_ngram_join": ngram_join.query,
