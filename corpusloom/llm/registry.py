@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, warc
+from corpusloom.llm import bpe, decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_bpe": bpe.query,
     "op3_secrets": secrets.query,
     "op4_toxicity": toxicity.query,
+    "op5_decontaminate": decontaminate.query,
     "op6_quality_model": quality_model.query,
     "op7_packing": packing.query,
     "op8_warc": warc.query,
