@@ -22,3 +22,14 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"corpusloom.plans.{name}")
+
+
+MODULES = ["listing_queries", "relational_queries"]
