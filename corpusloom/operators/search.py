@@ -47,6 +47,10 @@ def index_stats(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return n.join(F.broadcast(v))  # one row beside one row
 
 
+def equal_to(word: str):
+    return lambda t: t == word
+
+
 def bm25(chunks: DataFrame, terms: Sequence[str], k: int = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(id, score) of the k best chunks under BM25, any term being enough; a repeated query term counts again.
 
@@ -57,7 +61,7 @@ def bm25(chunks: DataFrame, terms: Sequence[str], k: int = 10, allowed: DataFram
     distinct = sorted(set(terms))
     toks = tokens(F.col(text_col))
     base = chunks.select(F.col(id_col).alias("id"), toks.alias("toks")).select(
-        "id", F.size("toks").cast("long").alias("dl"), *[F.size(F.filter("toks", lambda t, w=w: t == w)).alias(f"tf{j}") for j, w in enumerate(distinct)]
+        "id", F.size("toks").cast("long").alias("dl"), *[F.size(F.filter("toks", equal_to(w))).alias(f"tf{j}") for j, w in enumerate(distinct)]
     )
     base = base.filter("dl > 0")
     s = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(distinct))]).first()
