@@ -13,8 +13,9 @@ LATE = "1 hour"
 
 
 def stream_of(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
-    """A stream of the Parquet files of a folder."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A stream of the Parquet files of a folder; event times become timestamps, which watermarks ask for."""
+    rows = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
