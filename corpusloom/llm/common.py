@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -29,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of queries that are over: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def let(value, body):
+    """body(value) with the value computed once a row: inside a lambda Spark evaluates an outer expression for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """left_semi or left_anti on a column of ids: broadcast when their number is counted and small, else shuffled."""
     if ids.count() <= BROADCAST_IDS:

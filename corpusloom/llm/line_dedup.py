@@ -6,7 +6,7 @@ corpus, then their hash). Two lines with Jaccard 0.8 or more have a word of thei
 parity bitmaps of both sets bound their overlap; pairs that survive are verified on the whole sets. A line that is
 similar to any earlier one (by document id, then line number) is removed.
 
-Equal sets are folded first. Then each set is compared with the first that shares one of three of its prefix words, which
+Equal sets are folded first. Then each set is compared with the first that shares its smallest or largest prefix hash, which
 settles nearly all members of a group of near copies with one comparison each; only unsettled lines are joined with all
 earlier ones, so the work does not grow with the square of a group.
 
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import by_ids, cut, table
+from corpusloom.llm.common import by_ids, cut, let, release, table
 
 BUCKETS = 1 << 14
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
@@ -66,7 +66,6 @@ def similar(a: str, b: str):
 
 def verified(pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
     """Of pairs (b_doc, b_line, a_doc, a_line) the (doc_id, line_no) of each b that is similar to its a on the whole sets."""
-    pairs = cut(pairs)
     ends = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
     ids = ends.select(F.col("doc_id").alias(id_col)).distinct()
     needed = lines_of(by_ids(docs.select(id_col, text_col), ids, id_col, "left_semi"), id_col, text_col).join(ends, ["doc_id", "line_no"])
@@ -81,8 +80,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, line_no) of every line that is similar to an earlier one; line numbers count from 0."""
     ranks = rarity(docs, text_col)
     n = F.size("toks")
+    worded = F.trim(F.translate("line", "\t\n\x0b\x0c\r", "     ")) != ""  # not by the tokens: they would be made twice
     base = cut(
-        token_sets(lines_of(docs, id_col, text_col), ranks).filter(n > 0).select(
+        token_sets(lines_of(docs, id_col, text_col).filter(worded), ranks).select(
             "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"),
             F.aggregate("toks", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
             F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / F.lit(5)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
@@ -90,24 +90,37 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     sets = cut(base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("r")).select("mark", "r.*"))
 
-    # One comparison a set: with the first set that has the same smallest, second or largest prefix hash.
-    ordered = F.sort_array("prefix")
-    pivots = F.array_distinct(F.array(F.get(ordered, F.lit(0)), F.coalesce(F.get(ordered, F.lit(1)), F.get(ordered, F.lit(0))), F.array_max("prefix")))
+    release(docs.sparkSession)
+    # One comparison a set: with the first set that has the same smallest or largest prefix hash.
+    pivots = F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))
     marked = sets.select("doc_id", "line_no", "n", "bits", F.explode(pivots).alias("pivot"))
     firsts = marked.groupBy("pivot").agg(F.min(F.struct("doc_id", "line_no", "n", "bits")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("pivot", "f.*")
     b, a = marked.alias("b"), firsts.alias("a")
     named = [F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")]
     later = F.struct("b.doc_id", "b.line_no") > F.struct("a.doc_id", "a.line_no")
-    settled = cut(verified(b.join(a, (F.col("b.pivot") == F.col("a.pivot")) & later & similar("a", "b")).select(named).distinct(), docs, ranks, id_col, text_col))
-
-    # All other lines against every earlier set. The mark `open` is compared with a value of the other side, so that it
-    # stays in the join's condition and both sides read one and the same exchange.
-    opened = sets.join(settled.withColumn("open", F.lit(0)), ["doc_id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(1)))
-    postings = opened.select("doc_id", "line_no", "n", "bits", "open", F.posexplode("prefix").alias("at", "word"))
+    pairs = cut(b.join(a, (F.col("b.pivot") == F.col("a.pivot")) & later & similar("a", "b")).select(named).distinct())
+    settled = cut(verified(pairs, docs, ranks, id_col, text_col))
+
+    release(docs.sparkSession)
+    # All other lines against every earlier set. A posting packs size (28 bits), place (28 bits) and whether the line is
+    # open still into one long. `open` is compared together with a value of the other side, so that it stays in the
+    # join's condition and both sides read one and the same exchange.
+    opened = sets.join(settled.withColumn("settled", F.lit(1)), ["doc_id", "line_no"], "left")
+    size = F.col("n").cast("long")
+    packed = F.shiftleft(size, 29).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long"))
+    postings = opened.select("doc_id", "line_no", "n", "bits", "settled", F.posexplode("prefix").alias("at", "word")).select("word", "doc_id", "line_no", "bits", packed.alias("packed"))
     b, a = postings.alias("b"), postings.alias("a")
-    beyond = 1 + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)
-    fits = (F.col("b.open") + F.col("a.open") * 0 > 0) & later & similar("a", "b") & (9 * beyond >= 4 * (F.col("a.n") + F.col("b.n")))
-    more = verified(b.join(a, (F.col("b.word") == F.col("a.word")) & fits).select(named).distinct(), docs, ranks, id_col, text_col)
+    n_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 29)
+    at_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 1).bitwiseAND(F.lit((1 << 28) - 1))
+    total = n_of("a") + n_of("b")
+    close = (5 * F.least(n_of("a"), n_of("b")) >= 4 * F.greatest(n_of("a"), n_of("b"))) & (total >= 9 * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))))
+    beyond = F.least(n_of("a") - at_of("a"), n_of("b") - at_of("b"))
+    is_open = F.col("b.packed").bitwiseAND(F.lit(1)) + F.col("a.packed") * 0 > 0
+    fits = is_open & later & close & (9 * beyond >= 4 * total)
+    pairs = cut(b.join(a, (F.col("b.word") == F.col("a.word")) & fits).select(named).distinct())
+    release(docs.sparkSession)
+    more = cut(verified(pairs, docs, ranks, id_col, text_col))
+    release(docs.sparkSession)
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
     fate = sets.join(gone, ["doc_id", "line_no"], "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
@@ -122,9 +135,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         gone = F.broadcast(gone)
     lines = F.split(text_col, "\n", -1)
     n = F.coalesce(F.size(lines), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(let(lines, lambda x: F.array_join(F.transform(left(x), lambda k: F.get(x, k)), "\n")))
     return joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: text}).drop("_gone", "_doc")
 
 
