@@ -1,7 +1,7 @@
 """Operator 10, n-gram Jaccard join of documents: count vectors in R-trees, bounds from summed minima, exact checks.
 
 A document's set is its distinct 5-word shingles; two documents link when 5 * intersection >= 4 * union. Shingles are
-hashed into 64 groups and a document is the point of its group counts, whose summed coordinate minima bound an overlap
+hashed into 256 groups and a document is the point of its group counts, whose summed coordinate minima bound an overlap
 from above. An R-tree of such points alone would compare all documents of like length, so its top level is a table of
 keys: of sets this similar, each holds some of its first fifth of shingles, in one common order, in common with the
 other. R-trees are built within a key, and pairs whose bound survives are checked on the whole sets.
@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import by_ids, cut, table
+from corpusloom.llm.common import by_ids, cut, release, table
 from corpusloom.llm.components import connected_components
 
-SIZE, GROUPS, BUCKETS = 5, 64, 1 << 16
+SIZE, GROUPS, BUCKETS = 5, 256, 1 << 16
+#: Members of a key up to which its tree is a single leaf.
+SMALL = 16
 #: Members of a key's R-tree at most; larger groups are dealt out in pairs of parts.
 PART = 20_000
 #: Members that are checked against one set in one run.
@@ -69,8 +71,14 @@ def keys(h: np.ndarray, fill: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, fill[bucket(h)]))[:first]]
 
 
-def point(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(h: np.ndarray) -> bytes:
+    """The counts of the groups, one byte each where that is enough, else four."""
+    counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def counts_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32).astype(np.int32)
 
 
 class RTree:
@@ -133,7 +141,7 @@ def shingled(docs: DataFrame, fill, id_col: str, text_col: str) -> DataFrame:
                         pa.array([len(h) for h in sets], pa.int64()),
                         pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
                         pa.array([keys(h, table_).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64())),
-                        pa.array([point(h).tobytes() for h in sets], pa.binary()),
+                        pa.array([point(h) for h in sets], pa.binary()),
                     ],
                     names=["doc_id", "n", "mark", "keys", "point"],
                 )
@@ -162,7 +170,6 @@ def checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     """The pairs (a, b) whose whole sets are similar enough.
 
     Each set b travels once to the runs of its a, each of at most STAR members, and each run gets the set a once."""
-    pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
 
     def sets(batches):
@@ -201,33 +208,54 @@ def checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 def tree_pairs(rows: DataFrame) -> DataFrame:
     """Pairs within a key, of different components, whose bound allows a link. rows: key, run, part, doc_id, n, point, component."""
 
-    def pairs_of(group: list[tuple]):
-        doc, part, size, comp = (np.array(x) for x in zip(*((d, p, n, c) for d, p, n, _, c in group)))
-        points = np.frombuffer(b"".join(g[3] for g in group), np.int32).reshape(-1, GROUPS)
-        tree, two = RTree(size, points), len(set(part.tolist())) > 1
+    def allowed(x: tuple, y: tuple) -> bool:
+        low, high = sorted((x[2], y[2]))
+        return 5 * low >= 4 * high and 9 * int(np.minimum(counts_of(x[3]), counts_of(y[3])).sum()) >= 4 * (low + high)
+
+    def pairs_of(group: list[tuple], known: dict):
+        """Pairs of one key's members (doc_id, part, n, point, component), by doc_id; `known` remembers pairs of other keys."""
+        two = len({g[1] for g in group}) > 1
+        if len(group) <= SMALL:  # no deeper than a leaf
+            for k, x in enumerate(group):
+                for y in group[k + 1 :]:
+                    if x[4] != y[4] and not (two and x[1] == y[1]):
+                        pair = x[0], y[0]
+                        if pair not in known:
+                            known[pair] = allowed(x, y)
+                            if known[pair]:
+                                yield pair
+            return
+        doc, part, size, comp = (np.array([g[k] for g in group]) for k in (0, 1, 2, 4))
+        points = np.stack([counts_of(g[3]) for g in group])
+        tree = RTree(size, points)
         for k in range(len(group)):
             hit = tree.search(int(size[k]), points[k])
             keep = (doc[hit] > doc[k]) & (comp[hit] != comp[k])
             if two:
                 keep &= part[hit] != part[k]
             for j in hit[keep].tolist():
-                yield int(doc[k]), int(doc[j])
+                pair = int(doc[k]), int(doc[j])
+                if pair not in known:
+                    known[pair] = True
+                    yield pair
 
     def found(batches):
-        at, group = None, []
-        seen: set = set()
+        at, group, out = None, [], []
+        known: dict = {}
         for batch in batches:
             for key, run, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, run) != at:
-                    seen.update(pairs_of(group) if len(group) > 1 else ())
+                    out += pairs_of(group, known) if len(group) > 1 else ()
                     at, group = (key, run), []
+                    if len(known) > 500_000:
+                        known.clear()
                 group.append(tuple(rest))
-                if len(seen) > 50_000:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*seen)], names=["a", "b"])
-                    seen.clear()
-        seen.update(pairs_of(group) if len(group) > 1 else ())
-        if seen:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*seen)], names=["a", "b"])
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out = []
+        out += pairs_of(group, known) if len(group) > 1 else ()
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     dealt = rows.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "doc_id")
     return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(found, "a long, b long").distinct()
@@ -239,21 +267,37 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = cut(shingled(docs, fill, id_col, text_col))
     usable = base.filter("n > 0 and doc_id is not null")
     one = cut(usable.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "keys", "point")).alias("r")).select("mark", "r.*"))
+    base = cut(base.select("doc_id", "n", "mark"))  # keys and points go on with `one` alone
+    del usable
+    release(docs.sparkSession)
     postings = one.select("doc_id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key").orderBy("doc_id")
     shared = cut(
         postings.select("key", "doc_id", F.first("doc_id").over(by_key).alias("first"), F.lead("doc_id").over(by_key).alias("next"))
         .filter("doc_id <> first or next is not null").select("key", "doc_id", "first")
     )
+    del postings
+    release(docs.sparkSession)
     sizes = one.select("doc_id", "n", "point")
 
     def close(pairs: DataFrame) -> DataFrame:
-        n = one.select(F.col("doc_id").alias("i"), "n")
-        p = pairs.join(n.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
-        return p.filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+        """The pairs whose sizes and summed coordinate minima allow a link."""
+        side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+
+        def bounded(batches):
+            for t in batches:
+                na, nb = np.array(t.column("na")), np.array(t.column("nb"))
+                low = np.array([np.minimum(counts_of(x), counts_of(y)).sum() for x, y in zip(t.column("pa").to_pylist(), t.column("pb").to_pylist())], np.int64)
+                yield t.select(["a", "b"]).filter(pa.array(9 * low >= 4 * (na + nb), pa.bool_()))
+
+        p = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+        return p.mapInArrow(bounded, "a long, b long")
 
     stars = shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(checked(close(stars), docs, id_col, text_col))
+    pairs = cut(close(stars))
+    release(docs.sparkSession)
+    links = cut(checked(pairs, docs, id_col, text_col))
+    release(docs.sparkSession)
     labels = connected_components(links)
     placed = shared.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = cut(placed)
@@ -264,10 +308,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).withColumn("run", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     more = tree_pairs(rows)
-    tried = stars.select("a", "b")
-    more = cut(checked(more.join(tried, ["a", "b"], "left_anti"), docs, id_col, text_col))
+    pairs = cut(more.join(stars, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
+    more = cut(checked(pairs, docs, id_col, text_col))
     if more.count():
         labels = connected_components(links.unionByName(more))
+    release(docs.sparkSession)
     copies = one.select("mark", F.col("doc_id").alias("first"))
     return (
         base.select("doc_id", F.col("n").alias("n_shingles"), "mark")
