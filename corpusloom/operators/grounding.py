@@ -1,0 +1,117 @@
+"""Checks of answers, quotes and statements against the passages they cite."""
+
+from __future__ import annotations
+
+import difflib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as TY
+
+from corpusloom.functions.text import FLIPPING
+from corpusloom.operators.search import STOPWORDS
+from corpusloom.operators.segment import sentence_spans
+
+NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?%?")
+IDENTIFIER = re.compile(r"\b(?=\w*\d)(?=\w*[A-Za-z])[\w-]{3,}\b")
+
+
+def figures(text: str) -> list[str]:
+    return [n.replace(",", "") for n in NUMBER.findall(text)]
+
+
+def negations(text: str) -> list[str]:
+    return [w for w in re.findall(r"[a-z]+", text.lower()) if w in FLIPPING]
+
+
+def flat(text: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[“”\"'’`]", "", text)).strip().lower()
+
+
+def closest_reading(quote: str, text: str, most: int = 3, slack: float = 0.02) -> tuple[str, float]:
+    """The run of one to three sentences most like a quote; the shortest within `slack` of the best."""
+    spans, best = sentence_spans(text), []
+    for k in range(len(spans)):
+        for n in range(1, most + 1):
+            if k + n <= len(spans):
+                run = text[spans[k][0] : spans[k + n - 1][1]]
+                best.append((difflib.SequenceMatcher(None, flat(quote), flat(run), autojunk=False).ratio(), run))
+    top = max((s for s, _ in best), default=0.0)
+    fits = [(len(run), run, s) for s, run in best if s >= top - slack]
+    return (min(fits)[1], round(min(fits)[2], 6)) if fits else ("", 0.0)
+
+
+def verify_quote(quote: str, passages: dict[str, str], cited: str, threshold: float = 0.85) -> tuple[str, str | None]:
+    """(verdict, passage): exact or fuzzy in the cited passage, else relocated to another, else missing.
+
+    Numbers and negations of a quote must be those of what it is found in."""
+    for name in [cited, *[p for p in passages if p != cited]]:
+        text = passages.get(name) or ""
+        verdict = None
+        if flat(quote) and flat(quote) in flat(text):
+            verdict = "exact"
+        else:
+            run, score = closest_reading(quote, text)
+            if score >= threshold and figures(quote) == figures(run) and negations(quote) == negations(run):
+                verdict = "fuzzy"
+        if verdict:
+            return (verdict if name == cited else "relocated"), name
+    return "missing", None
+
+
+def check_answer(answer: str, passages: list[str]) -> list[tuple[str, bool, list[str]]]:
+    """(sentence, supported, what is missing) of each sentence that cites [n]: its figures, identifiers and quotes must occur."""
+    out = []
+    for a, b in sentence_spans(answer):
+        sentence = answer[a:b]
+        cited = [int(n) for n in re.findall(r"\[(\d+)\]", sentence)]
+        if not cited:
+            continue
+        text = flat(" ".join(passages[n - 1] for n in cited if 0 < n <= len(passages))).replace(",", "")
+        plain = re.sub(r"\[\d+\]", "", sentence)
+        wanted = [*figures(plain), *[i.lower() for i in IDENTIFIER.findall(plain)], *[flat(q).replace(",", "") for q in re.findall(r"[\"“]([^\"”]{8,})[\"”]", plain)]]
+        missing = [w for w in dict.fromkeys(wanted) if w not in text]
+        out.append((sentence, not missing, missing))
+    return out
+
+
+RESULT = TY.ArrayType(TY.StructType([TY.StructField("sentence", TY.StringType()), TY.StructField("supported", TY.BooleanType()), TY.StructField("missing", TY.ArrayType(TY.StringType()))]))
+
+
+@F.pandas_udf(RESULT)
+def checked_answers(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Column form of check_answer over (answer, array of passages)."""
+    for answers, sources in rows:
+        yield pd.Series([[dict(zip(("sentence", "supported", "missing"), x)) for x in check_answer(a or "", list(s) if s is not None else [])] for a, s in zip(answers, sources)])
+
+
+@F.pandas_udf(TY.StringType())
+def quote_verdict(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for quotes, texts in rows:
+        yield pd.Series([verify_quote(q or "", {"cited": t or ""}, "cited")[0] for q, t in zip(quotes, texts)])
+
+
+def overlap(sentence: Column, passage: Column) -> Column:
+    """Share of a sentence's key words that begin a word of the passage; 0 with under four key words."""
+    keys = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.isin(list(STOPWORDS))))
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " "))
+    hits = F.size(F.filter(keys, lambda w: F.contains(low, F.concat(F.lit(" "), w))))
+    return F.when(F.size(keys) < 4, 0.0).otherwise(hits / F.size(keys))
+
+
+def differences(quote: Column, reading: Column) -> Column:
+    """Numbers and meaning words that one of both has and the other has not."""
+
+    def marks(text: Column) -> Column:
+        numbers = F.regexp_extract_all(text, F.lit("[0-9]+(?:\\.[0-9]+)?"), F.lit(0))
+        return F.concat(numbers, F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, FLIPPING))))
+
+    return F.array_sort(F.array_union(F.array_except(marks(quote), marks(reading)), F.array_except(marks(reading), marks(quote))))
+
+
+def grounded(statements: DataFrame) -> DataFrame:
+    """Counts of statements(statement_id, quote, passage) by verdict."""
+    return statements.withColumn("verdict", quote_verdict("quote", "passage")).groupBy("verdict").agg(F.count("*").alias("n"))
