@@ -167,3 +167,18 @@ def distinctive_terms(node_terms: DataFrame, labels: DataFrame, k: int = 3) -> D
     n = labels.count()
     s = inside.join(total, "term").join(size, "community").withColumn("score", F.round(F.col("i") / F.col("n") - (F.col("t") - F.col("i")) / F.greatest(F.lit(1), n - F.col("n")), 6))
     return s.withColumn("k", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), "term"))).filter(F.col("k") <= k).select("community", "term", "score")
+
+
+def eigenvector(und: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, centrality): power iteration within each component, scaled by the component's share of the nodes."""
+    comp = components(und)
+    n = comp.count()
+    share = comp.groupBy("component").agg((F.count("*") / n).alias("share"))
+    e = checkpointed(und.select("a", "b", "weight").unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    x = comp.select("node", "component", F.lit(1.0).alias("x"))
+    for _ in range(rounds):
+        got = e.join(x.select(F.col("node").alias("b"), "x"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+        y = x.join(got, "node").select("node", "component", (F.col("x") + F.col("y")).alias("y"))  # A + I: also converges on bipartite parts
+        norm = y.groupBy("component").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        x = checkpointed(y.join(norm, "component").select("node", "component", (F.col("y") / F.col("norm")).alias("x")))
+    return x.join(share, "component").select("node", (F.col("x") * F.col("share")).alias("centrality"))

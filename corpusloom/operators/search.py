@@ -245,3 +245,24 @@ def quantize(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     scale = F.lit(127.0 / top)
     code = F.transform(column, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") * scale))).cast("int"))
     return vectors.withColumn("code", code).withColumn("scale", scale)
+
+
+def evidence_key(*parts: Column) -> Column:
+    """24 hex digits that identify a passage by its collection, document, page and text."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 24)
+
+
+def same_question(stored: Column, asked: Column, threshold: float) -> Column:
+    """Equal after folding case and space; below a threshold of 1 also if numbers and negations agree."""
+    flat = lambda q: F.trim(F.regexp_replace(F.lower(q), "\\s+", " "))
+    marks = lambda q: F.array_sort(F.regexp_extract_all(F.lower(q), F.lit("[0-9]+|\\b(?:not|no|never|without)\\b"), F.lit(0)))
+    return (flat(stored) == flat(asked)) | (F.lit(threshold < 1.0) & (marks(stored) == marks(asked)))
+
+
+def usable_answers(entries: DataFrame, sources: DataFrame, current: DataFrame) -> DataFrame:
+    """Cached entries all of whose sources still have the fingerprint that the entry was made from.
+
+    entries(entry_id), sources(entry_id, document_id, fingerprint), current(document_id, fingerprint)."""
+    now = current.select("document_id", F.col("fingerprint").alias("_now"))
+    state = sources.join(now, "document_id", "left").groupBy("entry_id").agg(F.bool_and(F.coalesce(F.col("fingerprint") == F.col("_now"), F.lit(False))).alias("ok"))
+    return entries.join(state, "entry_id", "left").filter(F.coalesce("ok", F.lit(True))).drop("ok")

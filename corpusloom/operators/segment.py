@@ -123,3 +123,19 @@ def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
     edges = spans.select("document_id", "start", "end").unionByName(sizes.select("document_id", (F.col("lines") + 1).alias("start"), (F.col("lines") + 1).alias("end")))
     rows = edges.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     return rows.filter("start > covered + 1").select("document_id", (F.col("covered") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+
+
+def webvtt(cues: DataFrame) -> DataFrame:
+    """(document_id, vtt): the cues of each document as WebVTT."""
+    clock = lambda s: F.format_string("%02d:%02d:%02d.000", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    safe = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    line = F.concat(clock(F.col("start")), F.lit(" --> "), clock(F.col("end")), F.lit("\n"), safe)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))), lambda x: x["line"])
+    return cues.groupBy("document_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(ordered, "\n\n"), F.lit("\n")).alias("vtt"))
+
+
+def normalize_ocr(text: Column) -> Column:
+    """Lines that are mostly neither letters nor digits go; space is flattened within lines."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t]+", " ")))
+    kept = F.filter(lines, lambda x: 2 * F.length(F.regexp_replace(x, "[^\\p{L}\\p{N}]", "")) >= F.length(F.regexp_replace(x, "\\s", "")))
+    return F.trim(F.array_join(kept, "\n"))
