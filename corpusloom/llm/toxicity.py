@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,8 @@ from corpusloom.llm.quality_model import fold
 
 TERM = re.compile(r"\w+")
 STEMS = (5, 7)
+#: Terms of over this share of the examples are stop words unless the labels depend on them.
+COMMON = 0.02
 
 
 def terms(text: str | None) -> Counter:
@@ -68,6 +71,8 @@ class Index:
                 continue
             p = toxic / n
             z = (hot[t] - d * p) / np.sqrt(d * p * (1 - p) * (1 - d / n) + 1e-9)
+            if z < 5 and not 3 <= d <= COMMON * n:
+                continue
             relevance = 1.0 if z >= 5 else 0.02
             self.vocabulary[t] = len(self.vocabulary)
             weights.append(np.log(n / d) * relevance)
@@ -139,7 +144,7 @@ class Index:
         return float((w * self.labels[at]).sum() / w.sum()), at, cos
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2000, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> tuple[Index, Isotonic]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 1500, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> tuple[Index, Isotonic]:
     """Index at most `most` examples of each label (those first by a hash of the id; a documented bound) and calibrate.
 
     Terms are counted on the executors; of equal texts one is used. A third of the examples only calibrates, weighted
@@ -158,11 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
             yield pa.record_batch([b.columns[0], b.columns[1], pa.array(marks, pa.string()), pa.array([list(x) for x in tf], pa.list_(pa.string())), pa.array([list(x.values()) for x in tf], pa.list_(pa.int32()))], names=["i", "y", "mark", "t", "c"])
 
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    rows = sample.mapInArrow(counted, "i long, y boolean, mark string, t array<string>, c array<int>").collect()
-    once = {r.mark: r for r in sorted(rows, key=lambda r: -r.i)}
+    rows = sample.mapInArrow(counted, "i long, y boolean, mark string, t array<string>, c array<int>")
+    once: dict[str, tuple] = {}
+    for r in rows.toLocalIterator():
+        if r.mark not in once or r.i < once[r.mark][0]:
+            once[r.mark] = r.i, float(r.y), dict(zip(map(sys.intern, r.t), r.c))
     parts: tuple[list, list] = ([], [])
-    for mark, r in sorted(once.items()):
-        parts[int(mark[:8], 16) % 3 == 0].append((r.i, float(r.y), dict(zip(r.t, r.c))))
+    for mark, example in sorted(once.items()):
+        parts[int(mark[:8], 16) % 3 == 0].append(example)
     index = Index(parts[0])
     raw = np.array([index.vote(tf, k)[0] for _, _, tf in parts[1]])
     y = np.array([y for _, y, _ in parts[1]])
