@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table, words
+from corpusloom.llm.common import by_ids, cut, table, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -145,7 +145,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    from corpusloom.llm.common import by_ids
-
     rejected = quality_rules(docs).filter("not kept").select("doc_id").distinct()
     return by_ids(docs, rejected, "doc_id", "left_anti")
