@@ -5,6 +5,7 @@ Each gets nulls, empty and long texts, ties, repeated rows, empty tables and ext
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -295,6 +296,45 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_reworded(spark):
+    """Items with words left out and others put between, amid prose of the items' own words, against brute force."""
+    r = random.Random(11)
+    common, rare = [f"c{k}" for k in range(1500)], [f"r{k}" for k in range(1500)]
+    items = [[r.choice(common) for _ in range(20)] + r.sample(rare, 6) for _ in range(40)]
+    for x in items:
+        r.shuffle(x)
+    other = lambda n: [r.choice(common if r.random() < 0.5 else rare) for _ in range(n)]
+    shortened = lambda x: [w for w in x if w[0] == "r" or r.random() < 0.7]
+    spread = lambda x: [w for y in x for w in [y, *other(r.choice((0, 1, 2, 3)))]]
+    texts = [" ".join(other(300)) for _ in range(200)] + [" ".join(other(100) + spread(shortened(x)) + other(100)) for x in items]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    df = Counter(w for t in texts for w in set(t.split()))
+    must = set()
+    for k, x in enumerate(items):
+        content = [w for w in x if df[w] <= 0.2 * len(texts)]
+        answer = sorted(set(content), key=lambda w: (df[w], w))[:4]
+        masks: dict = {}
+        for j, w in enumerate(content):
+            masks[w] = masks.get(w, 0) | 1 << j
+        for d, t in enumerate(texts):
+            tokens = t.split()
+            for a in range(0, len(tokens), 12):
+                part = tokens[max(0, a - 2 * len(content)) : a + 24 + 2 * len(content)]
+                lcs = decontaminate.common_subsequence(masks, part, (1 << len(content)) - 1) / len(content)
+                if lcs >= 0.8 or (lcs >= 0.6 and sum(w in part for w in answer) >= 3):
+                    must.add((d, k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(frame(spark, texts), bench).collect()}
+    assert got <= must | {(200 + k, k) for k in range(40)}
+    assert len(must) >= 20 and len(must & got) >= 0.9 * len(must), (len(must), len(must & got))
+
+
+def test_decontaminate_one_feature():
+    """A passage with a single feature is compared too."""
+    lexicon = decontaminate.Lexicon([(0, "alpha beta gamma delta epsilon")], {}, 1000)
+    searcher = decontaminate.Searcher(lexicon, np.eye(5, dtype=np.float32), 0.3, 0.8, 0.6)
+    assert 0 in searcher.candidates("x y alpha z".split())
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
