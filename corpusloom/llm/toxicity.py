@@ -31,8 +31,6 @@ from corpusloom.llm.quality_model import fold
 
 TERM = re.compile(r"\w+")
 STEMS = (5, 7)
-#: Terms of over this share of the examples are stop words unless the labels depend on them.
-COMMON = 0.02
 
 
 def terms(text: str | None) -> Counter:
@@ -67,13 +65,11 @@ class Index:
         n, toxic = max(1, len(examples)), max(1, sum(y >= 0.5 for _, y, _ in examples))
         self.vocabulary, weights = {}, []
         for t, d in sorted(df.items()):
-            if d < 2 or d == n:
-                continue
+            if d == n:
+                continue  # its weight is 0
             p = toxic / n
             z = (hot[t] - d * p) / np.sqrt(d * p * (1 - p) * (1 - d / n) + 1e-9)
-            if z < 5 and not 3 <= d <= COMMON * n:
-                continue
-            relevance = 1.0 if z >= 5 else 0.02
+            relevance = 1.0 if z >= 5 and d > 1 else 0.02  # one example shows no dependence
             self.vocabulary[t] = len(self.vocabulary)
             weights.append(np.log(n / d) * relevance)
         self.idf = np.array(weights)
@@ -117,6 +113,7 @@ class Index:
         bound = np.bincount(blocks, weight * self.pair_max[pairs])
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        taken = np.zeros(len(bound), bool)
         done, step = 0, 4
         while done < len(order):
             least = best[-1] if len(best) == k else 0.0
@@ -124,7 +121,9 @@ class Index:
             some = some[(bound[some] > 0) & (bound[some] >= least - 1e-12)]
             if not len(some):
                 break
-            chosen = np.isin(blocks, some)
+            taken[:] = False
+            taken[some] = True
+            chosen = taken[blocks]
             p, q = pairs[chosen], weight[chosen]
             entries = spans(self.pair_start[p], self.pair_end[p])
             scores = np.bincount(self.example[entries], np.repeat(q, self.pair_end[p] - self.pair_start[p]) * self.value[entries])
@@ -144,7 +143,7 @@ class Index:
         return float((w * self.labels[at]).sum() / w.sum()), at, cos
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 1500, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> tuple[Index, Isotonic]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2000, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> tuple[Index, Isotonic]:
     """Index at most `most` examples of each label (those first by a hash of the id; a documented bound) and calibrate.
 
     Terms are counted on the executors; of equal texts one is used. A third of the examples only calibrates, weighted

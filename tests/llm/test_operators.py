@@ -253,6 +253,16 @@ def test_nearest_is_exact():
         assert np.allclose(ix.nearest(tf, 7)[1], true)
 
 
+def test_index_holds_all_terms():
+    """Cosines are those of the whole vectors: common terms and terms of one example count too."""
+    texts = [prose(12) + f" once{k} usual" * (k > 0) + (" seldom" if k % 50 == 0 else "") for k in range(200)]
+    examples = [(k, float(k % 2), toxicity.terms(t)) for k, t in enumerate(texts)]
+    index = toxicity.Index(examples)
+    assert set(index.vocabulary) == {w for _, _, tf in examples for w in tf}
+    at, cos = index.nearest(toxicity.terms("usual once7"), 200)
+    assert len(at) == 199 and index.ids[at[0]] == 7
+
+
 def test_toxicity_held_out(spark):
     texts = [prose(40) + (" vile scum " if k % 4 == 0 else " ") + prose(10) for k in range(400)]
     docs = frame(spark, texts)
