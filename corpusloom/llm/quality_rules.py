@@ -3,8 +3,8 @@
 Lines are normalised (lower case, single spaces), hashed to 64 bits and counted per host in distinct documents. A line
 above the host's limit is boilerplate and is taken away; a document that keeps too little of itself is rejected.
 
-Copies of one document would look like boilerplate to a plain count, so documents that have the same longest line count
-as one body, and a line is boilerplate only if at least half of its documents are different bodies.
+Copies of one document would look like boilerplate to a plain count, so documents whose other lines are the same count as
+one body of a line, and a line is boilerplate only if at least half of its documents are different bodies.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; a line
 repeated in one document counts once; equal rows are documents of their own; null ids are kept as they are; extra
@@ -29,7 +29,7 @@ MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1,
 
 SCHEMA = (
     "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " body long, lines array<struct<h: long, w: int>>"
+    " lines array<struct<h: long, w: int, rest: long>>"
 )
 
 
@@ -58,14 +58,19 @@ def repeated_words(tokens: list[bytes], size: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(marks[:-1])))
 
 
+def mark(h: int) -> int:
+    """64 bits that spread a line's hash, so that sets of lines are told apart by the exclusive or of their marks."""
+    m = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed=1)
+    return m - ((m >> 63) << 64)
+
+
 def measure(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, body, lines) of one text."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of one text."""
     tokens = words(text)
     if not tokens:
-        return 0, 0, sum(map((text or "").count, SYMBOLS)), 0, 0, 0, []
+        return 0, 0, sum(map((text or "").count, SYMBOLS)), 0, 0, []
     seen, dup = set(), 0
     lines: dict[int, int] = {}
-    longest, body = 0, 0
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         parts = line.split()
         if not parts:
@@ -76,17 +81,18 @@ def measure(text: str | None) -> tuple:
         h = xxhash.xxh64_intdigest(b" ".join(parts).decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
         h -= (h >> 63) << 64
         lines[h] = lines.get(h, 0) + len(parts)
-        if len(parts) > longest:
-            longest, body = len(parts), h
+    body = 0  # of the set of lines; without a line it is the exclusive or with that line's mark
+    for h in lines:
+        body ^= mark(h)
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    return len(tokens), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(tokens), body, [{"h": h, "w": w} for h, w in lines.items()]
+    return len(tokens), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(tokens), [{"h": h, "w": w, "rest": body ^ mark(h)} for h, w in lines.items()]
 
 
 def _measured(batches):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("host", pa.string())]
-        + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "body")]
-        + [("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())])))]
+        + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        + [("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("rest", pa.int64())])))]
     )
     for b in batches:
         ids, hosts, texts = b.columns
@@ -120,9 +126,9 @@ def quality_rules(
         .mapInArrow(_measured, SCHEMA)
         .withColumn("row", F.monotonically_increasing_id())
     )
-    lines = base.select("row", "host", "body", F.inline("lines"))
+    lines = base.select("row", "host", F.inline("lines"))
     per_line = (
-        lines.groupBy("host", "h", "body").agg(F.count("*").alias("n"))
+        lines.groupBy("host", "h", "rest").agg(F.count("*").alias("n"))
         .groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_bodies"))
         .filter((F.col("n_docs") > min_line_docs) & (F.col("n_bodies") >= min_body_share * F.col("n_docs")))
     )
@@ -133,7 +139,7 @@ def quality_rules(
     left = F.col("n_words") - gone
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (left < min_words) | (left < min_left * F.col("n_words"))
-    return base.drop("lines", "body", "host").join(removed, "row", "left").select(
+    return base.drop("lines", "host").join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("words_removed"),
     )

@@ -72,6 +72,13 @@ def test_boilerplate_lines(spark):
     assert all(r.kept for r in quality_rules.quality_rules(copies).collect())
 
 
+def test_boilerplate_longer_than_all_else(spark):
+    notices = [prose(60), prose(55)]
+    texts = ["\n".join([prose(20), *notices[: 1 + k % 2], prose(25)]) for k in range(40)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, texts).withColumn("source", F.lit("h"))).collect()}
+    assert [got[k].words_removed for k in range(40)] == [60, 115] * 20
+
+
 # 1
 
 
