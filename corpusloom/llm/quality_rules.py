@@ -19,10 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.llm.common import by_ids, cut, table, words
 
 WINDOW = 8
+#: Hashes of lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
+BROADCAST_LINES = 4_000_000
 SYMBOLS = "#*$%&|<>"
 #: Odd multipliers of the rolling window hash.
 MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, WINDOW + 1)]
@@ -64,6 +67,12 @@ def mark(h: int) -> int:
     return m - ((m >> 63) << 64)
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """64 bits of a line's words, in lower case with single spaces."""
+    h = xxhash.xxh64_intdigest(b" ".join(parts).decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
+    return h - ((h >> 63) << 64)
+
+
 def measure(text: str | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of one text."""
     tokens = words(text)
@@ -78,8 +87,7 @@ def measure(text: str | None) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        h = xxhash.xxh64_intdigest(b" ".join(parts).decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
-        h -= (h >> 63) << 64
+        h = line_hash(parts)
         lines[h] = lines.get(h, 0) + len(parts)
     body = 0  # of the set of lines; without a line it is the exclusive or with that line's mark
     for h in lines:
@@ -113,6 +121,7 @@ def quality_rules(
     max_line_share: float = 0.02,
     min_body_share: float = 0.5,
     min_left: float = 0.2,
+    with_lines: bool = False,
 ) -> DataFrame:
     """One row per document: its counts, words_removed (in boilerplate lines), base_failed and kept.
 
@@ -134,14 +143,17 @@ def quality_rules(
     )
     hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = per_line.join(hosts, "host").filter(F.col("n_docs") > max_line_share * F.col("host_docs")).select("host", "h")
-    removed = lines.select("row", "host", "h", "w").join(frequent, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("words_removed"))
+    if with_lines:
+        frequent = cut(frequent)
+    found = lines.select("row", "host", "h", "w").join(frequent, ["host", "h"])
+    removed = found.groupBy("row").agg(F.sum("w").alias("words_removed"), *[F.collect_list("h").alias("removed_lines")] * with_lines)
     gone = F.coalesce(F.col("words_removed"), F.lit(0))
     left = F.col("n_words") - gone
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (left < min_words) | (left < min_left * F.col("n_words"))
-    return base.drop("lines", "host").join(removed, "row", "left").select(
+    return base.drop("lines").join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("words_removed"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("words_removed"), *["host", "removed_lines"] * with_lines,
     )
 
 
@@ -149,7 +161,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@F.udf(StringType())
+def without_lines(text: str | None, gone: list[int] | None) -> str | None:
+    """The text without the lines whose hash is in `gone`."""
+    if not text or not gone:
+        return text
+    hashes = set(gone)
+    return "\n".join(x for x in text.split("\n") if not (p := words(x)) or line_hash(p) not in hashes)
+
+
+def remove_lines(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents without boilerplate lines, from the rows of quality_rules(with_lines=True); n_chars follows if there is one.
+
+    A line goes if its host has it too often, so rows of one id and host can share their hashes. Rows without any keep
+    their text as it is."""
+    each = decided.filter("removed_lines is not null").groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"))
+    gone = cut(each.agg(F.array_distinct(F.flatten(F.collect_list("removed_lines"))).alias("_gone")))
+    if gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0] <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (host == F.col("_host")), "left")
+    out = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without_lines(text_col, "_gone")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
+    return out.select(*docs.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    rejected = quality_rules(docs).filter("not kept").select("doc_id").distinct()
-    return by_ids(docs, rejected, "doc_id", "left_anti")
+    """Documents that the rules reject go; the others lose their boilerplate lines."""
+    decided = cut(quality_rules(docs, with_lines=True).select("doc_id", "host", "kept", "removed_lines"))
+    rejected = decided.filter("not kept").select("doc_id").distinct()
+    return remove_lines(by_ids(docs, rejected, "doc_id", "left_anti"), decided.filter("kept or doc_id is null"))

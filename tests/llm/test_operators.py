@@ -79,6 +79,17 @@ def test_boilerplate_longer_than_all_else(spark):
     assert [got[k].words_removed for k in range(40)] == [60, 115] * 20
 
 
+def test_stage_removes_boilerplate_lines(spark):
+    foot = prose(30)
+    bodies = [prose(40) for _ in range(30)]
+    rows = [(k, b + "\n" + foot.upper() + "\n\nend", "h", 7) for k, b in enumerate(bodies)] + [(50, prose(30) + "\n" + foot, "other", 7), (51, foot + "\nhi", "h", 7), (None, bodies[0] + "\n" + foot, "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules.stage(spark, docs, "").collect()}
+    assert {k: got[k].text for k in range(30)} == {k: b + "\n" for k, b in enumerate(bodies)}  # "end" is boilerplate too
+    assert got[0].n_chars == len(got[0].text) and got[None].text == bodies[0]
+    assert got[50].text == rows[30][1] and got[50].n_chars == 7 and set(got) == {*range(30), 50, None}
+
+
 # 1
 
 
