@@ -146,12 +146,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others have before them; one left with under a fifth of its characters goes.
-
-    Such a document repeats earlier ones for four fifths, the share at which copies count as near ones."""
-    before = F.coalesce(F.length("text"), F.lit(0))
-    kept = line_dedup(docs.withColumn("_size", before))
-    kept = kept.filter((F.col("n_removed") == 0) | (5 * F.coalesce(F.length("text"), F.lit(0)) >= F.col("_size")))
+    """Documents without the lines that others have before them; one that loses lines and is left without a word goes."""
+    kept = line_dedup(docs)
+    kept = kept.filter((F.col("n_removed") == 0) | (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

@@ -113,6 +113,15 @@ def test_line_dedup(spark, docs):
     assert out[7].text == "\n".join(kept)
 
 
+def test_line_dedup_stage_keeps_what_is_left(spark):
+    shared = ["".join(f"s{k}x{j} " for j in range(40)) for k in range(4)]
+    own = "seven words that nobody else has written"
+    texts = ["\n".join(shared), "\n".join([*shared, own]), "\n".join(shared), "\n".join([shared[0], "", " \t", shared[1]])]
+    rows = [(k, t, len(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in line_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()}
+    assert {k: r.text for k, r in got.items()} == {0: texts[0], 1: own} and got[1].n_chars == len(own)
+
+
 def test_line_dedup_chains(spark):
     words = [f"w{k}" for k in range(30)]
     texts = []
