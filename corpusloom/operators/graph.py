@@ -45,7 +45,7 @@ def degrees(und: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tol: float = 1e-9) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tol: float = 1e-9) -> DataFrame:
     """(node, rank): weighted, dangling mass spread evenly; stops when the ranks move less than tol each on average."""
     nodes = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     n = nodes.count()
@@ -169,16 +169,23 @@ def distinctive_terms(node_terms: DataFrame, labels: DataFrame, k: int = 3) -> D
     return s.withColumn("k", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), "term"))).filter(F.col("k") <= k).select("community", "term", "score")
 
 
-def eigenvector(und: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, centrality): power iteration within each component, scaled by the component's share of the nodes."""
+def eigenvector(und: DataFrame, rounds: int = 2000, tol: float = 1e-8) -> DataFrame:
+    """(node, centrality): power iteration within each component, scaled by the component's share of the nodes.
+
+    Stops when in every component the values move less than tol each on average."""
     comp = components(und)
     n = comp.count()
-    share = comp.groupBy("component").agg((F.count("*") / n).alias("share"))
+    size = checkpointed(comp.groupBy("component").agg(F.count("*").alias("size")))
+    share = size.select("component", (F.col("size") / n).alias("share"))
     e = checkpointed(und.select("a", "b", "weight").unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    x = comp.select("node", "component", F.lit(1.0).alias("x"))
+    x = comp.select("node", "component", F.lit(1.0).alias("x")).join(size, "component").withColumn("x", 1 / F.sqrt("size")).drop("size")
     for _ in range(rounds):
         got = e.join(x.select(F.col("node").alias("b"), "x"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        y = x.join(got, "node").select("node", "component", (F.col("x") + F.col("y")).alias("y"))  # A + I: also converges on bipartite parts
+        y = x.join(got, "node").select("node", "component", F.col("x").alias("old"), (F.col("x") + F.col("y")).alias("y"))  # A + I: also converges on bipartite parts
         norm = y.groupBy("component").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        x = checkpointed(y.join(norm, "component").select("node", "component", (F.col("y") / F.col("norm")).alias("x")))
+        new = checkpointed(y.join(norm, "component").select("node", "component", "old", (F.col("y") / F.col("norm")).alias("x")))
+        x = new.select("node", "component", "x")
+        moved = new.groupBy("component").agg(F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved"))
+        if moved.join(size, "component").filter(F.col("moved") >= tol * F.col("size")).isEmpty():
+            break
     return x.join(share, "component").select("node", (F.col("x") * F.col("share")).alias("centrality"))

@@ -58,4 +58,4 @@ def _(spark, d):
 
 @query("eigenvector")
 def _(spark, d):
-    return G.eigenvector(G.undirected(edges(spark, d, 4)), 6).withColumn("centrality", F.round("centrality", 6))
+    return G.eigenvector(G.undirected(edges(spark, d, 4))).withColumn("centrality", F.round("centrality", 6))

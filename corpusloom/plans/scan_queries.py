@@ -160,7 +160,7 @@ def _(spark, d):
 
 @query("pagerank")
 def _(spark, d):
-    return G.pagerank(edges(spark, d), rounds=8).withColumn("rank", F.round("rank", 6))
+    return G.pagerank(edges(spark, d)).withColumn("rank", F.round("rank", 6))
 
 
 COMP = "SELECT l_orderkey AS a, l_orderkey + 4 AS b, 1.0D AS weight FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_orderkey < 3000"
