@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +20,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder and go on from the written rows.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir, which driver and executors share.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, a single machine)
-    a temporary one is made."""
-    context = df.sparkSession.sparkContext
+    Where it is unset a temporary folder serves on a single machine; on a cluster that would be one which the executors
+    cannot see, so it is an error there."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared checkpoint folder and go on from the written rows."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that a query writes as Parquet under the shared folder, each dropped once no later step reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.top, self.paths = spark, shared_folder(spark, name), {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a DataFrame and go on from the written rows; its lineage ends here."""
+        self.paths[name] = f"{self.top}/{name}"
+        df.write.mode("overwrite").parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        """Delete tables; shuffle files whose queries are over go with them."""
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+        release(self.spark)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of queries that are over: its cleaner acts when the driver collects garbage."""
+    """Have Spark's cleaner delete the shuffle files of queries that are over; it acts when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

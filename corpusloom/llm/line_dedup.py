@@ -2,9 +2,10 @@
 
 A line's set is its distinct lower-case words. Words are ordered by rarity (the count of their hash bucket over the whole
 corpus, then their hash). Two lines with Jaccard 0.8 or more have a word of their rarest n - ceil(0.8 n) + 1 in common
-(prefix filter); sizes within 4:5 (length filter), what is left after the common word (positional filter) and the
-parity bitmaps of both sets bound their overlap; pairs that survive are verified on the whole sets. A line that is
-similar to any earlier one (by document id, then line number) is removed.
+(prefix filter), of which the smaller line needs only the first n - ceil(8 n / 9) + 1; sizes within 4:5 (length filter,
+part of the join's key as bands of sizes), what is left after the common word (positional filter) and the parity
+bitmaps of both sets bound their overlap; pairs that survive are verified on the whole sets. A line that is similar to
+any earlier one (by document id, then line number) is removed.
 
 Equal sets are folded first. Then each set is compared with the first that shares its smallest or largest prefix hash, which
 settles nearly all members of a group of near copies with one comparison each; only unsettled lines are joined with all
@@ -12,133 +13,179 @@ earlier ones, so the work does not grow with the square of a group.
 
 Defined cases: a null or empty text has no lines to lose; lines without a word stay; a row without an id is kept as it
 is and takes no part; rows of one id are one document; ties go to the smaller id, then the smaller line number; extra
-columns are kept by the stage and ignored by the query. Words are told apart by 56-bit hashes."""
+columns are kept, but that line_dedup sets n_lines and n_removed where a table has columns of these names (the stage
+leaves them). Words are told apart by 56-bit hashes."""
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import by_ids, cut, let, release, table
+from corpusloom.llm.common import Scratch, by_ids, let, table
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 4_000_000
+#: Sizes of a band of the length filter, largest to smallest.
+BAND = 25 / 16
+BLANK = " \t\n\x0b\x0c\r"
 
 
-def tokens_of(line):
-    """The words of a text column, '' where there are two separators."""
-    return F.split(F.translate(F.lower(line), "\t\n\x0b\x0c\r", "     "), " ", -1)
+def tokens_of(text):
+    """The words of a text column, '' where there are two separators. Each replace() only scans where there is nothing to replace."""
+    for c in BLANK[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ", -1)
+
+
+def worded(line):
+    return F.btrim(line, F.lit(BLANK)) != ""
 
 
 def rarity(docs: DataFrame, text_col: str) -> list[int]:
-    """For each of 16,384 hash buckets the logarithm (4 log2) of the count of its words over all documents."""
-    word = docs.select(F.explode(tokens_of(F.col(text_col))).alias("w")).filter("w <> ''")
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("k")).agg(F.count("*").alias("c")).collect()
+    """For each hash bucket the logarithm (4 log2) of the count of its words over all documents."""
+    word = docs.select(F.explode(tokens_of(F.lower(text_col))).alias("w")).filter("w <> ''")
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("k")).agg(F.count("*").alias("c"))
     ranks = [0] * BUCKETS
-    for r in counts:
-        ranks[r.k] = min(120, int(4 * math.log2(r.c + 1)))
+    for k, c in counts.select("k", F.least(F.lit(120), F.floor(4 * F.log2(F.col("c") + 1))).cast("int")).collect():
+        ranks[k] = c
     return ranks
 
 
 def token_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """Adds `toks`, the sorted distinct words of column `line`: 7 bits of rarity, then 56 bits of hash."""
-    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    """Adds `toks`, the sorted distinct words of column `line` (in lower case): 7 bits of rarity, then 56 bits of hash."""
+    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
     def code(w):
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(known, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        return F.shiftleft(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     return lines.withColumn("toks", F.sort_array(F.array_distinct(F.transform(F.array_remove(tokens_of(F.col("line")), ""), code))))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
+    """(doc_id, line_no, line) of the lines that have a word, in lower case."""
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("line_no", "line"))
+    return lines.filter(worded(F.col("line")))
 
 
-def similar(a: str, b: str):
-    """What the length and bitmap filters need of two sets n and bits: true of every pair with Jaccard 0.8 or more."""
+def bounded(a: str, b: str):
+    """The length and bitmap filters of two sets n and bits: true of every pair with Jaccard 0.8 or more."""
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
     return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (total >= 9 * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
+def verified(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
     """Of pairs (b_doc, b_line, a_doc, a_line) the (doc_id, line_no) of each b that is similar to its a on the whole sets."""
     ends = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
+    ends = scratch.put(f"{name}_ends", ends)
     ids = ends.select(F.col("doc_id").alias(id_col)).distinct()
     needed = lines_of(by_ids(docs.select(id_col, text_col), ids, id_col, "left_semi"), id_col, text_col).join(ends, ["doc_id", "line_no"])
-    sets = cut(token_sets(needed, ranks).select("doc_id", "line_no", "toks").dropDuplicates(["doc_id", "line_no"]))
+    sets = token_sets(needed.dropDuplicates(["doc_id", "line_no"]), ranks).select("doc_id", "line_no", "toks")
     side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("toks").alias(f"{x}_toks"))
+    sets = scratch.put(f"{name}_sets", sets)
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
     good = 9 * F.size(F.array_intersect("a_toks", "b_toks")) >= 4 * (F.size("a_toks") + F.size("b_toks"))
-    return both.filter(good).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
+    found = scratch.put(name, both.filter(good).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct())
+    scratch.drop(f"{name}_ends", f"{name}_sets")
+    return found
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no) of every line that is similar to an earlier one; line numbers count from 0."""
-    ranks = rarity(docs, text_col)
-    n = F.size("toks")
-    worded = F.trim(F.translate("line", "\t\n\x0b\x0c\r", "     ")) != ""  # not by the tokens: they would be made twice
-    base = cut(
-        token_sets(lines_of(docs, id_col, text_col).filter(worded), ranks).select(
-            "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"),
-            F.aggregate("toks", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-            F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / F.lit(5)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        )
-    )
-    sets = cut(base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("r")).select("mark", "r.*"))
+def later(b: str, a: str):
+    return (F.col(f"{b}.doc_id") > F.col(f"{a}.doc_id")) | ((F.col(f"{b}.doc_id") == F.col(f"{a}.doc_id")) & (F.col(f"{b}.line_no") > F.col(f"{a}.line_no")))
+
 
-    release(docs.sparkSession)
-    # One comparison a set: with the first set that has the same smallest or largest prefix hash.
+def first_of_pivot(sets: DataFrame) -> DataFrame:
+    """One comparison a set: pairs with the first set that has the same smallest or largest prefix hash."""
     pivots = F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))
     marked = sets.select("doc_id", "line_no", "n", "bits", F.explode(pivots).alias("pivot"))
     firsts = marked.groupBy("pivot").agg(F.min(F.struct("doc_id", "line_no", "n", "bits")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("pivot", "f.*")
-    b, a = marked.alias("b"), firsts.alias("a")
-    named = [F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")]
-    later = F.struct("b.doc_id", "b.line_no") > F.struct("a.doc_id", "a.line_no")
-    pairs = cut(b.join(a, (F.col("b.pivot") == F.col("a.pivot")) & later & similar("a", "b")).select(named).distinct())
-    settled = cut(verified(pairs, docs, ranks, id_col, text_col))
-
-    release(docs.sparkSession)
-    # All other lines against every earlier set. A posting packs size (28 bits), place (28 bits) and whether the line is
-    # open still into one long. `open` is compared together with a value of the other side, so that it stays in the
-    # join's condition and both sides read one and the same exchange.
+    met = marked.alias("b").join(firsts.alias("a"), (F.col("b.pivot") == F.col("a.pivot")) & later("b", "a") & bounded("a", "b"))
+    return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
+
+
+def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of an open set and an earlier one that the filters leave: (b_doc, b_line, a_doc, a_line), b the later.
+
+    A posting's key is a prefix word and a band of sizes; its place is packed with its size and whether the set is open.
+    The larger set posts its whole prefix in its own band; the smaller the first part of its prefix, in all bands
+    of sizes up to 5/4 of its own. The larger counts as the left side; of equal sizes, the later set."""
     opened = sets.join(settled.withColumn("settled", F.lit(1)), ["doc_id", "line_no"], "left")
     size = F.col("n").cast("long")
-    packed = F.shiftleft(size, 29).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long"))
-    postings = opened.select("doc_id", "line_no", "n", "bits", "settled", F.posexplode("prefix").alias("at", "word")).select("word", "doc_id", "line_no", "bits", packed.alias("packed"))
-    b, a = postings.alias("b"), postings.alias("a")
+    band = lambda n: F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")  # noqa: E731 - any function that never falls will do
+    open_ = F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long")
+    packed = F.shiftleft(size, 29).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(open_)
+    key = F.shiftleft(F.col("word").cast("long"), 6).bitwiseOR(F.col("band").cast("long")).alias("key")
+    row = ["doc_id", "line_no", "bits"]
+    large = opened.select(*row, "n", "settled", band(size).alias("band"), F.posexplode("prefix").alias("at", "word")).select(key, *row, packed.alias("packed"))
+    first = F.slice("prefix", 1, F.col("n") - F.floor((8 * size + 8) / F.lit(9)).cast("int") + 1)
+    bands = F.explode(F.sequence(band(size), band(F.floor(5 * size / F.lit(4)))))
+    small = opened.select(*row, "n", "settled", "prefix", bands.alias("band")).select(*row, "n", "settled", "band", F.posexplode(first).alias("at", "word")).select(key, *row, packed.alias("packed"))
     n_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 29)
     at_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 1).bitwiseAND(F.lit((1 << 28) - 1))
-    total = n_of("a") + n_of("b")
-    close = (5 * F.least(n_of("a"), n_of("b")) >= 4 * F.greatest(n_of("a"), n_of("b"))) & (total >= 9 * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))))
-    beyond = F.least(n_of("a") - at_of("a"), n_of("b") - at_of("b"))
-    is_open = F.col("b.packed").bitwiseAND(F.lit(1)) + F.col("a.packed") * 0 > 0
-    fits = is_open & later & close & (9 * beyond >= 4 * total)
-    pairs = cut(b.join(a, (F.col("b.word") == F.col("a.word")) & fits).select(named).distinct())
-    release(docs.sparkSession)
-    more = cut(verified(pairs, docs, ranks, id_col, text_col))
-    release(docs.sparkSession)
+    is_open = lambda x: F.col(f"{x}.packed").bitwiseAND(F.lit(1)) == 1
+    total = n_of("l") + n_of("s")
+    sizes = (n_of("l") > n_of("s")) | ((n_of("l") == n_of("s")) & later("l", "s"))
+    close = (5 * n_of("s") >= 4 * n_of("l")) & (total >= 9 * F.bit_count(F.col("l.bits").bitwiseXOR(F.col("s.bits"))))
+    beyond = F.least(n_of("l") - at_of("l"), n_of("s") - at_of("s"))
+    fits = sizes & close & (9 * beyond >= 4 * total) & F.when(later("l", "s"), is_open("l")).otherwise(is_open("s"))
+    met = large.alias("l").join(small.alias("s"), (F.col("l.key") == F.col("s.key")) & fits)
+    pick = lambda c, x, y: F.when(later("l", "s"), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+    return met.select(pick("doc_id", "l", "s").alias("b_doc"), pick("line_no", "l", "s").alias("b_line"), pick("doc_id", "s", "l").alias("a_doc"), pick("line_no", "s", "l").alias("a_line")).distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no) of every line that is similar to an earlier one; line numbers count from 0."""
+    scratch = Scratch(docs.sparkSession, "line_dedup")
+    ranks = rarity(docs, text_col)
+    n = F.size("toks")
+    one = F.lit(1).cast("long")
+    base = scratch.put(
+        "base",
+        token_sets(lines_of(docs, id_col, text_col), ranks).select(
+            "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"),
+            F.aggregate("toks", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+            F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / F.lit(5)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+        ),
+    )
+    sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("r")).select("mark", "r.*"))
+    pairs = scratch.put("pivots", first_of_pivot(sets))
+    settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
+    scratch.drop("pivots")
+    pairs = scratch.put("pairs", prefix_pairs(sets, settled))
+    scratch.drop()
+    more = verified(scratch, "more", pairs, docs, ranks, id_col, text_col)
+    scratch.drop("pairs")
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
     fate = sets.join(gone, ["doc_id", "line_no"], "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct()
+    found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct())
+    scratch.drop("base", "sets", "settled", "more")
+    return found
+
+
+def without_lines(docs: DataFrame, id_col: str, text_col: str, n_lines: str, n_removed: str) -> DataFrame:
+    """The documents, their text without the removed lines, with two counts under names of the caller's choice."""
+    gone, doc = f"gone_{uuid.uuid4().hex}", f"doc_{uuid.uuid4().hex}"
+    removed = removed_lines(docs, id_col, text_col)
+    lists = removed.groupBy(F.col("doc_id").alias(doc)).agg(F.array_sort(F.collect_list("line_no")).alias(gone))
+    if 2 * removed.count() <= BROADCAST_LINES:  # ids and line numbers
+        lists = F.broadcast(lists)
+    lines = F.split(text_col, "\n", -1)
+    n = F.coalesce(F.size(lines), F.lit(0))
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone))
+    joined = docs.join(lists, F.col(id_col).cast("long") == F.col(doc), "left")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(let(lines, lambda x: F.array_join(F.transform(left(x), lambda k: F.get(x, k)), "\n")))
+    counts = {n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"), n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return joined.withColumns({**counts, text_col: text}).drop(gone, doc)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, their text without the removed lines, with n_lines and n_removed."""
-    gone = cut(removed_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_gone"))).withColumnRenamed("doc_id", "_doc")
-    size = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
-    if size <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
-    lines = F.split(text_col, "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(let(lines, lambda x: F.array_join(F.transform(left(x), lambda k: F.get(x, k)), "\n")))
-    return joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: text}).drop("_gone", "_doc")
+    return without_lines(docs, id_col, text_col, "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +193,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others have before them; one that loses lines and is left without a word goes."""
-    kept = line_dedup(docs)
-    kept = kept.filter((F.col("n_removed") == 0) | (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Documents without the lines that others have before them; one that loses lines and is left without a word goes.
+
+    n_chars, where there is such a column, is that of the text which is left; all other columns are left alone."""
+    lines, removed = f"lines_{uuid.uuid4().hex}", f"removed_{uuid.uuid4().hex}"
+    kept = without_lines(docs, "doc_id", "text", lines, removed)
+    kept = kept.filter((F.col(removed) == 0) | worded(F.coalesce("text", F.lit(""))))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select(*docs.columns)
 
 
 ORACLE = r"""
