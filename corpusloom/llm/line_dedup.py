@@ -12,23 +12,31 @@ settles nearly all members of a group of near copies with one comparison each; o
 earlier ones, so the work does not grow with the square of a group.
 
 Defined cases: a null or empty text has no lines to lose; lines without a word stay; a row without an id is kept as it
-is and takes no part; rows of one id are one document; ties go to the smaller id, then the smaller line number; extra
-columns are kept, but that line_dedup sets n_lines and n_removed where a table has columns of these names (the stage
+is and takes no part; rows of one id are one document, whose lines of one number stand or fall together; ties go to the
+smaller id, then the smaller line number; extra columns are kept, but that line_dedup sets n_lines and n_removed where a table has columns of these names (the stage
 leaves them). Words are told apart by 56-bit hashes."""
 
 from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, by_ids, let, table
+from corpusloom.llm.common import Scratch, let, table
 
 BUCKETS = 1 << 18
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 4_000_000
+#: Parts (a power of two) in which the postings are joined, one after another, so that only one part's shuffle is on disk.
+PARTS = 2
+#: Masks of the bitmaps: each of 128 kinds of words has one bit in one of them, as signed longs.
+HALVES = {
+    name: [(1 << k % 64) - (1 << 64 if k % 64 == 63 else 0) if k // 64 == half else 0 for k in range(128)]
+    for half, name in enumerate(("bits", "more_bits"))
+}
 #: Sizes of a band of the length filter, largest to smallest.
 BAND = 25 / 16
 BLANK = " \t\n\x0b\x0c\r"
@@ -57,13 +65,17 @@ def rarity(docs: DataFrame, text_col: str) -> list[int]:
 
 def token_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
     """Adds `toks`, the sorted distinct words of column `line` (in lower case): 7 bits of rarity, then 56 bits of hash."""
-    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
+    known = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")
+    hashes = F.transform(F.array_remove(tokens_of(F.col("line")), ""), lambda w: F.xxhash64(w))
+    # A second lambda, since an expression that a lambda names twice is computed twice.
+    codes = F.transform(hashes, lambda h: F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(h, 8))
+    return lines.withColumn("toks", F.sort_array(F.array_distinct(codes)))
 
-    def code(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return lines.withColumn("toks", F.sort_array(F.array_distinct(F.transform(F.array_remove(tokens_of(F.col("line")), ""), code))))
+def parity(toks, masks: list[int]):
+    """64 bits: the exclusive or of the masks of all words, which a word's last 7 bits choose."""
+    known = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.get(known, t.bitwiseAND(F.lit(127)).cast("int"))))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,24 +84,39 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.filter(worded(F.col("line")))
 
 
+def apart(a: str, b: str):
+    """How many words the bitmaps of two sets tell apart; never more than they differ in."""
+    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return differ("bits") + differ("more_bits")
+
+
 def bounded(a: str, b: str):
     """The length and bitmap filters of two sets n and bits: true of every pair with Jaccard 0.8 or more."""
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (total >= 9 * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))))
+    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (total >= 9 * apart(a, b))
+
+
+def chosen_lines(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, line) of the lines at given places, in lower case; a map over documents where the places are few."""
+    places, doc = f"places_{uuid.uuid4().hex}", f"doc_{uuid.uuid4().hex}"
+    lists = ends.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(places))
+    if ends.count() <= BROADCAST_LINES:
+        lists = F.broadcast(lists)
+    lines = F.split(F.lower(text_col), "\n", -1)
+    found = let(lines, lambda x: F.transform(F.col(places), lambda k: F.struct(k.alias("line_no"), F.get(x, k).alias("line"))))
+    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).join(lists, F.col("doc_id") == F.col(doc))
+    return joined.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.line_no", "l.line").filter("line is not null")
 
 
 def verified(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (b_doc, b_line, a_doc, a_line) the (doc_id, line_no) of each b that is similar to its a on the whole sets."""
+    """Of pairs (b_doc, b_line, a_doc, a_line) the `mark` of each set b that is similar to its a on the whole sets."""
     ends = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
     ends = scratch.put(f"{name}_ends", ends)
-    ids = ends.select(F.col("doc_id").alias(id_col)).distinct()
-    needed = lines_of(by_ids(docs.select(id_col, text_col), ids, id_col, "left_semi"), id_col, text_col).join(ends, ["doc_id", "line_no"])
-    sets = token_sets(needed.dropDuplicates(["doc_id", "line_no"]), ranks).select("doc_id", "line_no", "toks")
+    sets = scratch.put(f"{name}_sets", token_sets(chosen_lines(docs, ends, id_col, text_col), ranks).select("doc_id", "line_no", "toks"))
     side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("toks").alias(f"{x}_toks"))
-    sets = scratch.put(f"{name}_sets", sets)
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
     good = 9 * F.size(F.array_intersect("a_toks", "b_toks")) >= 4 * (F.size("a_toks") + F.size("b_toks"))
-    found = scratch.put(name, both.filter(good).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct())
+    found = scratch.put(name, both.filter(good).select(F.xxhash64("b_toks").alias("mark")).distinct())
     scratch.drop(f"{name}_ends", f"{name}_sets")
     return found
 
@@ -101,35 +128,37 @@ def later(b: str, a: str):
 def first_of_pivot(sets: DataFrame) -> DataFrame:
     """One comparison a set: pairs with the first set that has the same smallest or largest prefix hash."""
     pivots = F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))
-    marked = sets.select("doc_id", "line_no", "n", "bits", F.explode(pivots).alias("pivot"))
-    firsts = marked.groupBy("pivot").agg(F.min(F.struct("doc_id", "line_no", "n", "bits")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("pivot", "f.*")
+    marked = sets.select("doc_id", "line_no", "n", "bits", "more_bits", F.explode(pivots).alias("pivot"))
+    firsts = marked.groupBy("pivot").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("pivot", "f.*")
     met = marked.alias("b").join(firsts.alias("a"), (F.col("b.pivot") == F.col("a.pivot")) & later("b", "a") & bounded("a", "b"))
     return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
 
 
-def prefix_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+def prefix_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     """Pairs of an open set and an earlier one that the filters leave: (b_doc, b_line, a_doc, a_line), b the later.
 
-    A posting's key is a prefix word and a band of sizes; its place is packed with its size and whether the set is open.
-    The larger set posts its whole prefix in its own band; the smaller the first part of its prefix, in all bands
-    of sizes up to 5/4 of its own. The larger counts as the left side; of equal sizes, the later set."""
-    opened = sets.join(settled.withColumn("settled", F.lit(1)), ["doc_id", "line_no"], "left")
+    Of the prefix words, those of one of PARTS parts. A posting's key is a prefix word and a band of sizes; its place is
+    packed with its size and whether the set is open. The larger set posts its whole prefix in its own band; the smaller
+    the first part of its prefix, in all bands of sizes up to 5/4 of its own. The larger counts as the left side; of
+    equal sizes, the later set."""
+    opened = sets.join(settled.withColumn("settled", F.lit(1)), "mark", "left")
     size = F.col("n").cast("long")
     band = lambda n: F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")  # noqa: E731 - any function that never falls will do
     open_ = F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long")
     packed = F.shiftleft(size, 29).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(open_)
     key = F.shiftleft(F.col("word").cast("long"), 6).bitwiseOR(F.col("band").cast("long")).alias("key")
-    row = ["doc_id", "line_no", "bits"]
-    large = opened.select(*row, "n", "settled", band(size).alias("band"), F.posexplode("prefix").alias("at", "word")).select(key, *row, packed.alias("packed"))
+    mine = F.col("word").bitwiseAND(F.lit(PARTS - 1)) == part
+    row = ["doc_id", "line_no", "bits", "more_bits"]
+    large = opened.select(*row, "n", "settled", band(size).alias("band"), F.posexplode("prefix").alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
     first = F.slice("prefix", 1, F.col("n") - F.floor((8 * size + 8) / F.lit(9)).cast("int") + 1)
     bands = F.explode(F.sequence(band(size), band(F.floor(5 * size / F.lit(4)))))
-    small = opened.select(*row, "n", "settled", "prefix", bands.alias("band")).select(*row, "n", "settled", "band", F.posexplode(first).alias("at", "word")).select(key, *row, packed.alias("packed"))
+    small = opened.select(*row, "n", "settled", "prefix", bands.alias("band")).select(*row, "n", "settled", "band", F.posexplode(first).alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
     n_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 29)
     at_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 1).bitwiseAND(F.lit((1 << 28) - 1))
     is_open = lambda x: F.col(f"{x}.packed").bitwiseAND(F.lit(1)) == 1
     total = n_of("l") + n_of("s")
     sizes = (n_of("l") > n_of("s")) | ((n_of("l") == n_of("s")) & later("l", "s"))
-    close = (5 * n_of("s") >= 4 * n_of("l")) & (total >= 9 * F.bit_count(F.col("l.bits").bitwiseXOR(F.col("s.bits"))))
+    close = (5 * n_of("s") >= 4 * n_of("l")) & (total >= 9 * apart("l", "s"))
     beyond = F.least(n_of("l") - at_of("l"), n_of("s") - at_of("s"))
     fits = sizes & close & (9 * beyond >= 4 * total) & F.when(later("l", "s"), is_open("l")).otherwise(is_open("s"))
     met = large.alias("l").join(small.alias("s"), (F.col("l.key") == F.col("s.key")) & fits)
@@ -142,25 +171,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "line_dedup")
     ranks = rarity(docs, text_col)
     n = F.size("toks")
-    one = F.lit(1).cast("long")
     base = scratch.put(
         "base",
         token_sets(lines_of(docs, id_col, text_col), ranks).select(
             "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"),
-            F.aggregate("toks", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+            *(parity("toks", masks).alias(name) for name, masks in HALVES.items()),
             F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / F.lit(5)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
         ),
     )
-    sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("r")).select("mark", "r.*"))
+    sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits", "prefix")).alias("r")).select("mark", "r.*"))
     pairs = scratch.put("pivots", first_of_pivot(sets))
     settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
     scratch.drop("pivots")
-    pairs = scratch.put("pairs", prefix_pairs(sets, settled))
-    scratch.drop()
-    more = verified(scratch, "more", pairs, docs, ranks, id_col, text_col)
-    scratch.drop("pairs")
+    parts = []
+    for part in range(PARTS):
+        parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, settled, part)))
+        scratch.drop()
+    more = verified(scratch, "more", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
+    scratch.drop(*(f"pairs_{part}" for part in range(PARTS)))
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
-    fate = sets.join(gone, ["doc_id", "line_no"], "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    fate = sets.join(gone, "mark", "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct())
     scratch.drop("base", "sets", "settled", "more")
