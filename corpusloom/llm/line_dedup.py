@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, let, table
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 4_000_000
 #: Parts (a power of two) in which the postings are joined, one after another, so that only one part's shuffle is on disk.
@@ -65,10 +65,10 @@ def rarity(docs: DataFrame, text_col: str) -> list[int]:
 
 def token_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
     """Adds `toks`, the sorted distinct words of column `line` (in lower case): 7 bits of rarity, then 56 bits of hash."""
-    known = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")
+    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
     hashes = F.transform(F.array_remove(tokens_of(F.col("line")), ""), lambda w: F.xxhash64(w))
     # A second lambda, since an expression that a lambda names twice is computed twice.
-    codes = F.transform(hashes, lambda h: F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(h, 8))
+    codes = F.transform(hashes, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56) + F.shiftrightunsigned(h, 8))
     return lines.withColumn("toks", F.sort_array(F.array_distinct(codes)))
 
 
@@ -134,25 +134,24 @@ def first_of_pivot(sets: DataFrame) -> DataFrame:
     return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
 
 
-def prefix_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, part: int) -> DataFrame:
     """Pairs of an open set and an earlier one that the filters leave: (b_doc, b_line, a_doc, a_line), b the later.
 
     Of the prefix words, those of one of PARTS parts. A posting's key is a prefix word and a band of sizes; its place is
     packed with its size and whether the set is open. The larger set posts its whole prefix in its own band; the smaller
     the first part of its prefix, in all bands of sizes up to 5/4 of its own. The larger counts as the left side; of
     equal sizes, the later set."""
-    opened = sets.join(settled.withColumn("settled", F.lit(1)), "mark", "left")
     size = F.col("n").cast("long")
     band = lambda n: F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")  # noqa: E731 - any function that never falls will do
-    open_ = F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long")
+    open_ = F.when(F.col("settled"), 0).otherwise(1).cast("long")
     packed = F.shiftleft(size, 29).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(open_)
     key = F.shiftleft(F.col("word").cast("long"), 6).bitwiseOR(F.col("band").cast("long")).alias("key")
     mine = F.col("word").bitwiseAND(F.lit(PARTS - 1)) == part
     row = ["doc_id", "line_no", "bits", "more_bits"]
-    large = opened.select(*row, "n", "settled", band(size).alias("band"), F.posexplode("prefix").alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
+    large = sets.select(*row, "n", "settled", band(size).alias("band"), F.posexplode("prefix").alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
     first = F.slice("prefix", 1, F.col("n") - F.floor((8 * size + 8) / F.lit(9)).cast("int") + 1)
     bands = F.explode(F.sequence(band(size), band(F.floor(5 * size / F.lit(4)))))
-    small = opened.select(*row, "n", "settled", "prefix", bands.alias("band")).select(*row, "n", "settled", "band", F.posexplode(first).alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
+    small = sets.select(*row, "n", "settled", "prefix", bands.alias("band")).select(*row, "n", "settled", "band", F.posexplode(first).alias("at", "word")).filter(mine).select(key, *row, packed.alias("packed"))
     n_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 29)
     at_of = lambda x: F.shiftright(F.col(f"{x}.packed"), 1).bitwiseAND(F.lit((1 << 28) - 1))
     is_open = lambda x: F.col(f"{x}.packed").bitwiseAND(F.lit(1)) == 1
@@ -182,18 +181,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits", "prefix")).alias("r")).select("mark", "r.*"))
     pairs = scratch.put("pivots", first_of_pivot(sets))
     settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
-    scratch.drop("pivots")
+    known = settled.withColumn("settled", F.lit(True))
+    if settled.count() <= BROADCAST_LINES:
+        known = F.broadcast(known)
+    sets = scratch.put("opened", sets.join(known, "mark", "left"))
+    scratch.drop("pivots", "sets")
     parts = []
     for part in range(PARTS):
-        parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, settled, part)))
+        parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, part)))
         scratch.drop()
     more = verified(scratch, "more", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
     scratch.drop(*(f"pairs_{part}" for part in range(PARTS)))
-    gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
-    fate = sets.join(gone, "mark", "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    gone = more.withColumn("gone", F.lit(True))
+    if more.count() <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    fate = sets.join(gone, "mark", "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("settled", "gone", F.lit(False)).alias("gone"))
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct())
-    scratch.drop("base", "sets", "settled", "more")
+    scratch.drop("base", "opened", "settled", "more")
     return found
 
 
