@@ -438,6 +438,35 @@ def test_warc_round_trip(spark, tmp_path):
         assert bytes(got[k].payload) == (b"" if k in (3, 4) else raw)
 
 
+def test_warc_files_read_by_several_tasks(spark, tmp_path):
+    """Records that cross byte ranges, some with magics and whole records inside, against what was written."""
+    fake = "z\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    html = [("p%d " % k) * (k % 37) * 9 + (fake * (k % 90) if k % 7 == 0 else "") for k in range(300)] + [fake * 400]
+    pages = spark.createDataFrame([(k, f"http://x/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(2), str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        assert warc.between_magics(spark, str(tmp_path / "w")).select("file", "range").distinct().count() > 50
+        got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == len(html)
+    last = {h: k for k, h in enumerate(html)}
+    for k, h in enumerate(html):
+        kept = len(h) < 1000 or last[h] == k
+        assert (got[k].kind, got[k].sound, bytes(got[k].payload)) == (("response", True, h.encode()) if kept else ("revisit", True, b""))
+
+
+def test_warc_cut_off(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(k, "u", "p" * 50) for k in range(5)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    [file] = (tmp_path / "w").glob("part-*")
+    file.write_bytes(file.read_bytes()[:-20])
+    (tmp_path / "w" / f".{file.name}.crc").unlink()
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 4
+
+
 def test_empty_tables(spark):
     none = frame(spark, [""]).limit(0)
     assert quality_rules.quality_rules(none).count() == 0
