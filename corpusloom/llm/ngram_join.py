@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles; two documents link when 5 * in
 hashed into 256 groups and a document is the point of its group counts, whose summed coordinate minima bound an overlap
 from above. An R-tree of such points alone would compare all documents of like length, so its top level is a table of
 keys: of sets this similar, each holds some of its first fifth of shingles, in one common order, in common with the
-other. R-trees are built within a key, and pairs whose bound survives are checked on the whole sets.
+other. An R-tree is built within each key and joined with itself; pairs whose bound survives are checked on the whole sets.
 
 The common order puts shingles in rarely filled buckets first, so that passages shared by many documents seldom become
 keys. Copies are folded into one before anything is compared. Of the others, all that share a key are checked against
@@ -12,8 +12,8 @@ the first of them, and only documents that are not yet in one component are comp
 copies costs n checks and not n * n; as components are closed over links, no link between different components is lost.
 
 Defined cases: null and empty texts have no set and are their own component; texts of under five words are one shingle;
-equal rows are copies; rows without an id have no component; extra columns are ignored. Shingles are told apart by
-64-bit hashes."""
+equal rows are copies; an id with several texts links with what any of them links with, and all its rows have one
+component; rows without an id have no component; extra columns are ignored. Shingles are told apart by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -25,12 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import by_ids, cut, release, table
+from corpusloom.llm.common import BROADCAST_IDS, Scratch, by_ids, table
 from corpusloom.llm.components import connected_components
 
 SIZE, GROUPS, BUCKETS = 5, 256, 1 << 16
-#: Members of a key up to which its tree is a single leaf.
-SMALL = 16
 #: Members of a key's R-tree at most; larger groups are dealt out in pairs of parts.
 PART = 20_000
 #: Members that are checked against one set in one run.
@@ -107,24 +105,33 @@ class RTree:
         slab = -(-slab // self.FAN) * self.FAN
         return np.concatenate([self._tile(at[k : k + slab], depth + 1) if slab < len(at) else at[k : k + slab] for k in range(0, len(at), slab)])
 
-    def search(self, size: int, q: np.ndarray) -> np.ndarray:
-        """Members whose bound allows a link: the summed minima reach 4/9 of both sizes and the sizes are close enough."""
-
-        def passes(top, low, high):
-            smallest = np.maximum(low, -(-4 * size // 5))
-            fits = (smallest <= high) & (4 * low <= 5 * size)
-            return fits & (9 * np.minimum(top, q).sum(1) >= 4 * (size + smallest))
+    @staticmethod
+    def allows(top: np.ndarray, low: np.ndarray, high: np.ndarray, size, q: np.ndarray) -> np.ndarray:
+        """Whether nodes (maxima, size range) may hold a set that links with (size, q): the summed minima reach 4/9 of both
+        sizes and the sizes are close enough."""
+        smallest = np.maximum(low, -(-4 * size // 5))
+        return (smallest <= high) & (4 * low <= 5 * size) & (9 * np.minimum(top, q).sum(-1) >= 4 * (size + smallest))
 
+    def search(self, size: int, q: np.ndarray) -> np.ndarray:
+        """Members whose bound allows a link."""
         at = None
         for top, low, high in reversed(self.levels):
             if at is None:
                 at = np.arange(len(top))
             at = at[at < len(top)]
-            at = at[passes(top[at], low[at], high[at])]
+            at = at[self.allows(top[at], low[at], high[at], size, q)]
             at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
         at = self.order if at is None else self.order[at[at < len(self.order)]]
         s = self.sizes[at]
-        return at[passes(self.points[at], s, s)]
+        return at[self.allows(self.points[at], s, s, size, q)]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of members, each twice, whose bound allows a link; of a tree of one leaf at once."""
+        if not self.levels:
+            s, q = self.sizes[:, None], self.points[:, None]
+            return np.nonzero(self.allows(self.points[None], self.sizes[None], self.sizes[None], s, q))
+        hits = [self.search(int(s), q) for s, q in zip(self.sizes, self.points)]
+        return np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate(hits)
 
 
 def shingled(docs: DataFrame, fill, id_col: str, text_col: str) -> DataFrame:
@@ -166,10 +173,10 @@ def bucket_fill(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+def checked(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids of which some text has a whole set similar enough to one of the other's.
 
-    Each set b travels once to the runs of its a, each of at most STAR members, and each run gets the set a once."""
+    Each set b travels once to the runs of its a, each of at most STAR members, and each run gets the sets a once."""
     ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
 
     def sets(batches):
@@ -177,83 +184,66 @@ def checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
             for k in range(0, b.num_rows, 500):
                 yield pa.record_batch([b.columns[0][k : k + 500], pa.array([shingles(t).tobytes() for t in b.columns[1][k : k + 500].to_pylist()], pa.binary())], names=["i", "h"])
 
-    hashes = cut(by_ids(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), ids, id_col, "left_semi").mapInArrow(sets, "i long, h binary"))
+    hashes = scratch.put(f"{name}_sets", by_ids(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), ids, id_col, "left_semi").mapInArrow(sets, "i long, h binary"))
     size = pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("runs", F.ceil(F.col("m") / STAR).cast("int"))
     runs = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), "b")
     members = runs.join(hashes, F.col("b") == F.col("i")).select("a", "run", "b", "h")
     centres = size.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")).join(hashes, F.col("a") == F.col("i"))
     both = members.unionByName(centres.select("a", "run", F.lit(None).cast("long").alias("b"), "h"))
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 5 * both >= 4 * (len(x) + len(y) - both)
+
     def similar(batches):
-        centre, at = None, None
+        at, centres = None, []
         for batch in batches:
             found = []
             for a, run, b, h in zip(*(c.to_pylist() for c in batch.columns)):
-                if b is None:
-                    at, centre = (a, run), np.frombuffer(h, np.uint64)
-                    continue
-                assert at == (a, run)
                 h = np.frombuffer(h, np.uint64)
-                if 5 * min(len(h), len(centre)) >= 4 * max(len(h), len(centre)):
-                    both = len(np.intersect1d(centre, h, assume_unique=True))
-                    if 5 * both >= 4 * (len(centre) + len(h) - both):
-                        found.append((a, b))
+                if at != (a, run):
+                    at, centres = (a, run), []
+                if b is None:
+                    centres.append(h)
+                elif any(linked(c, h) for c in centres):
+                    found.append((a, b))
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     dealt = both.repartition(F.col("a"), F.col("run")).sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(similar, "a long, b long")
+    links = scratch.put(name, dealt.mapInArrow(similar, "a long, b long").distinct())
+    scratch.drop(f"{name}_sets")
+    return links
 
 
 def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs within a key, of different components, whose bound allows a link. rows: key, run, part, doc_id, n, point, component."""
-
-    def allowed(x: tuple, y: tuple) -> bool:
-        low, high = sorted((x[2], y[2]))
-        return 5 * low >= 4 * high and 9 * int(np.minimum(counts_of(x[3]), counts_of(y[3])).sum()) >= 4 * (low + high)
-
-    def pairs_of(group: list[tuple], known: dict):
-        """Pairs of one key's members (doc_id, part, n, point, component), by doc_id; `known` remembers pairs of other keys."""
-        two = len({g[1] for g in group}) > 1
-        if len(group) <= SMALL:  # no deeper than a leaf
-            for k, x in enumerate(group):
-                for y in group[k + 1 :]:
-                    if x[4] != y[4] and not (two and x[1] == y[1]):
-                        pair = x[0], y[0]
-                        if pair not in known:
-                            known[pair] = allowed(x, y)
-                            if known[pair]:
-                                yield pair
-            return
-        doc, part, size, comp = (np.array([g[k] for g in group]) for k in (0, 1, 2, 4))
-        points = np.stack([counts_of(g[3]) for g in group])
-        tree = RTree(size, points)
-        for k in range(len(group)):
-            hit = tree.search(int(size[k]), points[k])
-            keep = (doc[hit] > doc[k]) & (comp[hit] != comp[k])
-            if two:
-                keep &= part[hit] != part[k]
-            for j in hit[keep].tolist():
-                pair = int(doc[k]), int(doc[j])
-                if pair not in known:
-                    known[pair] = True
-                    yield pair
+    """Pairs within a key, of different components, whose bound allows a link: the self-join of the key's R-tree.
+
+    rows: key, run, part, doc_id, n, point, component; of a group in two parts, only pairs across them."""
+
+    def pairs_of(group: list[tuple]):
+        doc, part, size, component = (np.array([g[k] for g in group]) for k in (0, 1, 2, 4))
+        a, b = RTree(size, np.stack([counts_of(g[3]) for g in group])).pairs()
+        keep = (doc[a] < doc[b]) & (component[a] != component[b])
+        if (part != part[0]).any():
+            keep &= part[a] != part[b]
+        return zip(doc[a[keep]].tolist(), doc[b[keep]].tolist())
 
     def found(batches):
-        at, group, out = None, [], []
-        known: dict = {}
+        at, group = None, []
+        out: set = set()
         for batch in batches:
             for key, run, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, run) != at:
-                    out += pairs_of(group, known) if len(group) > 1 else ()
+                    out.update(pairs_of(group) if len(group) > 1 else ())
                     at, group = (key, run), []
-                    if len(known) > 500_000:
-                        known.clear()
                 group.append(tuple(rest))
-            if out:
+            if len(out) > 100_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-                out = []
-        out += pairs_of(group, known) if len(group) > 1 else ()
+                out = set()
+        out.update(pairs_of(group) if len(group) > 1 else ())
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
@@ -261,65 +251,83 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
     return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(found, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs of ids whose sizes and summed coordinate minima allow a link."""
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+
+    def allowed(batches):
+        for t in batches:
+            na, nb = np.array(t.column("na")), np.array(t.column("nb"))
+            low = np.array([np.minimum(counts_of(x), counts_of(y)).sum() for x, y in zip(t.column("pa").to_pylist(), t.column("pb").to_pylist())], np.int64)
+            yield t.select(["a", "b"]).filter(pa.array(9 * low >= 4 * (na + nb), pa.bool_()))
+
+    p = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return p.mapInArrow(allowed, "a long, b long").distinct()
+
+
+def shared_keys(postings: DataFrame, fill: np.ndarray) -> DataFrame:
+    """(key, doc_id, first) of the keys of more than one document, with the first of them.
+
+    A key is at most as frequent as its bucket. Buckets of up to four times the mean hold at most 1/16384 of all
+    shingles, so a window over one of their keys is bounded; keys of fuller buckets are counted with partial sums and
+    joined, which adaptive execution can split."""
+    top = [(k, True) for k in np.flatnonzero(fill > 4 * max(1, int(fill.mean()))).tolist()]
+    spark = postings.sparkSession
+    full = F.broadcast(spark.createDataFrame(top, "bucket long, full boolean"))  # 65,536 rows at most
+    dealt = postings.withColumn("bucket", F.shiftrightunsigned("key", 48)).join(full, "bucket", "left").drop("bucket")
+    by_key = Window.partitionBy("key").orderBy("doc_id")
+    cold = dealt.filter("full is null").select("key", "doc_id", F.first("doc_id").over(by_key).alias("first"), F.lead("doc_id").over(by_key).alias("next"))
+    cold = cold.filter("doc_id <> first or next <> doc_id").select("key", "doc_id", "first")
+    hot = dealt.filter("full").select("key", "doc_id")
+    firsts = hot.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("key", "first")
+    return cold.unionByName(hot.join(firsts, "key").select("key", "doc_id", "first"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    fill = docs.sparkSession.sparkContext.broadcast(bucket_fill(docs, text_col))
-    base = cut(shingled(docs, fill, id_col, text_col))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram_join")
+    filled = bucket_fill(docs, text_col)
+    base = scratch.put("base", shingled(docs, spark.sparkContext.broadcast(filled), id_col, text_col))
     usable = base.filter("n > 0 and doc_id is not null")
-    one = cut(usable.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "keys", "point")).alias("r")).select("mark", "r.*"))
-    base = cut(base.select("doc_id", "n", "mark"))  # keys and points go on with `one` alone
-    del usable
-    release(docs.sparkSession)
-    postings = one.select("doc_id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("doc_id")
-    shared = cut(
-        postings.select("key", "doc_id", F.first("doc_id").over(by_key).alias("first"), F.lead("doc_id").over(by_key).alias("next"))
-        .filter("doc_id <> first or next is not null").select("key", "doc_id", "first")
-    )
-    del postings
-    release(docs.sparkSession)
-    sizes = one.select("doc_id", "n", "point")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes and summed coordinate minima allow a link."""
-        side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-
-        def bounded(batches):
-            for t in batches:
-                na, nb = np.array(t.column("na")), np.array(t.column("nb"))
-                low = np.array([np.minimum(counts_of(x), counts_of(y)).sum() for x, y in zip(t.column("pa").to_pylist(), t.column("pb").to_pylist())], np.int64)
-                yield t.select(["a", "b"]).filter(pa.array(9 * low >= 4 * (na + nb), pa.bool_()))
-
-        p = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
-        return p.mapInArrow(bounded, "a long, b long")
-
-    stars = shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = cut(close(stars))
-    release(docs.sparkSession)
-    links = cut(checked(pairs, docs, id_col, text_col))
-    release(docs.sparkSession)
-    labels = connected_components(links)
+    marks = usable.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("mark", "first")
+    copied = scratch.put("copied", usable.select("doc_id", "mark").join(marks, "mark"))
+    # Of equal sets the first goes on; of an id with several texts, each that is not a copy.
+    gone = scratch.put("gone", copied.filter("doc_id <> first").select("doc_id", "mark").distinct())
+    many = gone.count()
+    one = usable.join(F.broadcast(gone) if many <= BROADCAST_IDS // 4 else gone, ["doc_id", "mark"], "left_anti")
+    shared = scratch.put("shared", shared_keys(one.select("doc_id", F.explode("keys").alias("key")), filled))
+    sizes = usable.select("doc_id", "n", "point")
+    stars = scratch.put("stars", shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+    near = scratch.put("near", bounded(stars, sizes))
+    links = checked(scratch, "links", near, docs, id_col, text_col)
+    scratch.drop("near")
+    labels = scratch.put("labels", connected_components(links))
     placed = shared.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = cut(placed)
-    live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    placed = scratch.put("placed", placed)
+    scratch.drop("shared")
+    # The one pair of a key of two has been checked already.
+    live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high and m > 2")
     live = live.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     rows = placed.join(live, "key").join(sizes, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     # A group in several parts is dealt out as every pair of parts; run = low part * parts + high part.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).withColumn("run", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    more = tree_pairs(rows)
-    pairs = cut(more.join(stars, ["a", "b"], "left_anti"))
-    release(docs.sparkSession)
-    more = cut(checked(pairs, docs, id_col, text_col))
-    if more.count():
-        labels = connected_components(links.unionByName(more))
-    release(docs.sparkSession)
-    copies = one.select("mark", F.col("doc_id").alias("first"))
-    return (
+    near = scratch.put("near", tree_pairs(rows).join(stars, ["a", "b"], "left_anti"))
+    scratch.drop("placed", "stars")
+    more = checked(scratch, "more", near, docs, id_col, text_col)
+    # An id with several texts links what they are linked with.
+    several = usable.groupBy("doc_id").agg(F.min("mark").alias("l"), F.max("mark").alias("h")).filter("l <> h").select("doc_id")
+    own = copied.join(several, "doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    labels = scratch.put("all_labels", connected_components(links.unionByName(more).unionByName(own)))
+    found = scratch.put(
+        "found",
         base.select("doc_id", F.col("n").alias("n_shingles"), "mark")
-        .join(copies, "mark", "left").join(labels, F.col("first") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))).alias("component_id"))
+        .join(marks, "mark", "left").withColumn("first", F.coalesce("first", "doc_id")).join(labels, F.col("first") == F.col("node"), "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))).alias("component_id")),
     )
+    scratch.drop("base", "copied", "near", "gone", "labels", "links", "more", "all_labels")
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

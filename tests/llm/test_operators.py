@@ -168,6 +168,36 @@ def test_ngram_join(spark, docs):
     assert got == brute_components([*enumerate(TEXTS), *zip(ids, more)])
 
 
+def test_ngram_join_ids_with_several_texts(spark):
+    """Links 1-2 and 2-3 come from different texts of document 2; repeated rows and rows without an id do no harm."""
+    x, y = variants(2, 120, 2), variants(2, 90, 1)
+    rows = [(1, x[0]), (2, x[1]), (2, y[0]), (3, y[1]), (3, y[1]), (4, prose(60)), (None, x[0]), (5, None), (5, "")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_ngram_join_full_buckets(spark, monkeypatch):
+    """Keys in full buckets take the path without a window, to the same end."""
+    texts = variants(12, 60, 3) + [prose(40) for _ in range(10)] + [prose(9)] * 2
+    want = brute_components(enumerate(texts))
+    monkeypatch.setattr(ngram_join.np, "flatnonzero", lambda x: np.arange(len(x)) if len(x) == ngram_join.BUCKETS and x.dtype == bool else x.nonzero()[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert got == want
+
+
+def test_candidates_come_from_trees(spark):
+    """Sets that share keys but not the first document of any: only the trees can offer their pairs."""
+    shared = prose(40)
+    texts = [shared + " " + prose(80)] + [shared + " " + v for v in variants(40, 200, 4)]
+    rows = [(1, 0, k, 0, len(h := ngram_join.shingles(t)), ngram_join.point(h), k) for k, t in enumerate(texts)]
+    frame_ = spark.createDataFrame(rows, "key long, run int, doc_id long, part int, n long, point binary, component long")
+    offered = {(r.a, r.b) for r in ngram_join.tree_pairs(frame_).collect()}
+    sets = [set(ngram_join.shingles(t).tolist()) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert near and near <= offered and not any(a == 0 for a, _ in offered)
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 9, (40, ngram_join.GROUPS))
@@ -467,6 +497,17 @@ def test_warc_cut_off(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 4
 
 
+def test_line_dedup_clashing_columns_and_long_lines(spark):
+    """Columns of the operator's own names, a line of very many words, repeated rows, ids with several texts."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(0, long, 77, 1, "x", 5), (1, long + " more", 77, 2, "y", 5), (2, BASE, 77, 3, None, 5), (2, BASE, 77, 3, None, 5), (3, BASE + "\nown words here", 77, 4, "", 5), (4, None, 77, 5, "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, n_lines int, _gone string, _size int")
+    got = sorted(line_dedup.stage(spark, docs, "").collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.n_removed, r.n_lines, r._gone, r._size) for r in got] == [(0, 77, 1, "x", 5), (2, 77, 3, None, 5), (2, 77, 3, None, 5), (3, 77, 4, "", 5), (4, 77, 5, "z", 5)]
+    assert {r.doc_id: r.text for r in got}[3] == "own words here"
+    assert {(r.doc_id, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == {(0, 0), (1, 1), (2, 0), (3, BASE.count("\n") + 1), (4, 0)}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [""]).limit(0)
     assert quality_rules.quality_rules(none).count() == 0
