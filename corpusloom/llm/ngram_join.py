@@ -291,6 +291,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = scratch.put("base", shingled(docs, spark.sparkContext.broadcast(filled), id_col, text_col))
     usable = base.filter("n > 0 and doc_id is not null")
     marks = usable.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("mark", "first")
+    marks = scratch.put("marks", marks)
+    if marks.count() <= BROADCAST_IDS // 4:
+        marks = F.broadcast(marks)
     copied = scratch.put("copied", usable.select("doc_id", "mark").join(marks, "mark"))
     # Of equal sets the first goes on; of an id with several texts, each that is not a copy.
     gone = scratch.put("gone", copied.filter("doc_id <> first").select("doc_id", "mark").distinct())
@@ -326,7 +329,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .join(marks, "mark", "left").withColumn("first", F.coalesce("first", "doc_id")).join(labels, F.col("first") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))).alias("component_id")),
     )
-    scratch.drop("base", "copied", "near", "gone", "labels", "links", "more", "all_labels")
+    scratch.drop("base", "marks", "copied", "near", "gone", "labels", "links", "more", "all_labels")
     return found
 
 
