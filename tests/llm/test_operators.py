@@ -399,7 +399,7 @@ def test_decontaminate_one_feature():
     """A passage with a single feature is compared too."""
     lexicon = decontaminate.Lexicon([(0, "alpha beta gamma delta epsilon")], {}, 1000)
     searcher = decontaminate.Searcher(lexicon, np.eye(5, dtype=np.float32), 0.3, 0.8, 0.6)
-    assert 0 in searcher.candidates("x y alpha z".split())
+    assert 0 in searcher.candidates(["x y alpha z".split()])[0]
 
 
 def test_common_subsequence():
