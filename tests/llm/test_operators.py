@@ -307,7 +307,7 @@ def test_nearest_is_exact():
         q = np.zeros(len(ix.vocabulary))
         q[at] = w
         true = np.sort((dense @ q)[(dense @ q) > 1e-12])[::-1][:7]
-        assert np.allclose(ix.nearest(tf, 7)[1], true)
+        assert np.allclose(ix.nearest([tf, {}], 7)[0][1], true)
 
 
 def test_index_holds_all_terms():
@@ -316,7 +316,7 @@ def test_index_holds_all_terms():
     examples = [(k, float(k % 2), toxicity.terms(t)) for k, t in enumerate(texts)]
     index = toxicity.Index(examples)
     assert set(index.vocabulary) == {w for _, _, tf in examples for w in tf}
-    at, cos = index.nearest(toxicity.terms("usual once7"), 200)
+    [(at, cos)] = index.nearest([toxicity.terms("usual once7")], 200)
     assert len(at) == 199 and index.ids[at[0]] == 7
 
 
