@@ -37,10 +37,15 @@ STEMS = (5, 7)
 def terms(text: str | None) -> Counter:
     """Words and, for inflected forms, the stems of 5 and 7 letters that longer words begin with."""
     found = Counter(TERM.findall(text.lower())) if text else Counter()
-    for w, c in list(found.items()):
-        for size in STEMS:
-            if len(w) > size:
-                found[w[:size] + "-"] += c
+    short, long = STEMS
+    seen, get = list(found.items()), found.get
+    for w, c in seen:
+        if len(w) > short:
+            stem = w[:short] + "-"
+            found[stem] = get(stem, 0) + c
+            if len(w) > long:
+                stem = w[:long] + "-"
+                found[stem] = get(stem, 0) + c
     return found
 
 
@@ -91,16 +96,23 @@ class Index:
         self.pair_block = blocks[first]
         self.pair_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.term_pairs = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
-        # Postings of terms that stand in most blocks, as matrices; all others stay lists of pairs.
-        n_blocks = -(-len(vectors) // block)
-        self.n_blocks, wide = n_blocks, np.flatnonzero(np.diff(self.term_pairs) >= max(2, n_blocks // 2))
+        self.term, self.dense = term, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "dense": None}  # each process makes the matrices anew
+
+    def matrices(self) -> None:
+        """Postings of terms that stand in a third of the blocks, as matrices; all others stay lists of pairs."""
+        size = len(self.labels)
+        self.n_blocks = -(-size // self.block)
+        wide = np.flatnonzero(np.diff(self.term_pairs) >= max(2, self.n_blocks // 3))
         self.wide = np.full(len(self.vocabulary), -1)
         self.wide[wide] = np.arange(len(wide))
-        column = self.wide[term]
-        self.dense = np.zeros((len(vectors), len(wide)))
+        column = self.wide[self.term]
+        self.dense = np.zeros((size, len(wide)), np.float32)
         self.dense[self.example[column >= 0], column[column >= 0]] = self.value[column >= 0]
-        self.dense_max = np.zeros((len(wide), n_blocks))
-        column = self.wide[term[first]]
+        self.dense_max = np.zeros((len(wide), self.n_blocks), np.float32)
+        column = self.wide[self.term[self.pair_start]]
         self.dense_max[column[column >= 0], self.pair_block[column >= 0]] = self.pair_max[column >= 0]
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +128,8 @@ class Index:
         """Of each query, (positions, cosines) of the k nearest examples with a positive cosine, exact.
 
         Blocks with the largest bounds are scored first; then all those whose bound reaches the k-th best cosine so far."""
+        if self.dense is None:
+            self.matrices()
         n, n_blocks, size = len(tfs), self.n_blocks, len(self.labels)
         if not size:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
@@ -123,7 +137,7 @@ class Index:
         query = np.repeat(np.arange(n), [len(at) for at, _ in vectors])
         at, w = (np.concatenate(x) for x in zip(*vectors))
         column = self.wide[at]
-        dense = np.zeros((n, len(self.dense_max)))
+        dense = np.zeros((n, len(self.dense_max)), np.float32)
         dense[query[column >= 0], column[column >= 0]] = w[column >= 0]
         query, at, w = query[column < 0], at[column < 0], w[column < 0]
         a, b = self.term_pairs[at], self.term_pairs[at + 1]
@@ -152,7 +166,7 @@ class Index:
                 done |= fresh
                 if k < size:
                     least = np.partition(scores, size - k, axis=1)[:, size - k]
-                taken = bound >= least[:, None] - 1e-12
+                taken = bound >= least[:, None] - 1e-5  # more than single precision may be off
         out = []
         for row in scores:
             hit = np.flatnonzero(row > 0) if k >= size else np.flatnonzero(row >= max(np.partition(row, size - k)[size - k], 1e-300))
