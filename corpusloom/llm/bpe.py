@@ -31,6 +31,29 @@ CACHED, CACHED_CHARS = 200_000, 64
 #: Symbols that the transducer takes in at a time beyond its lookahead, and characters of text split at a time.
 STEP, SLICE = 256, 1 << 16
 
+# Code points that the tokenizers library holds to be neither letters nor numbers (its classes are those of
+# Unicode 16), whatever a later version of the regex module says of them.
+UNASSIGNED = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
+    "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+# Capitals newer than Unicode 15.1 and their small letters, which the library lowers, in runs.
+NEWER_CAPITALS = (
+    "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+)
+
+
+def code_points(runs: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in runs.split())]
+
+
+NEWER_LOWER = {
+    a + k: int(small, 16) + k for run, _, small in (x.partition(":") for x in NEWER_CAPITALS.split()) for a, b in code_points(run) for k in range(b - a + 1)
+}
+NEWER = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 # The two splitting patterns of the tokenizer files.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,8 +62,19 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 WIDE = re.compile("[^\x00-\x1b\x20-ɏ]|[²³¹¼-¾]")
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_WORDS = re.compile(rf"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{_L}0-9]+")
-ANY_WORDS = regex.compile(WORDS)
-ANY_PIECES = regex.compile(PIECES)
+
+
+def as_in_unicode_16(pattern: str) -> regex.Pattern:
+    """The pattern with its letters and numbers taken from Unicode 16."""
+    no = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in code_points(UNASSIGNED)) + "]"
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", "\0")
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(f"[{kind}]", kind).replace(kind, f"[{kind}--{no}]")
+    return regex.compile(pattern.replace("\0", rf"[[^\s\p{{L}}\p{{N}}]||{no}]"), regex.V1)
+
+
+ANY_WORDS = as_in_unicode_16(WORDS)
+ANY_PIECES = as_in_unicode_16(PIECES)
 
 
 def byte_symbols() -> list[str]:
@@ -175,6 +209,8 @@ class Encoder:
             return text
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lowered alone
+            if NEWER.search(text):
+                text = text.translate(NEWER_LOWER)
         return text.lower()
 
     def pieces(self, text: str) -> Iterator[list[str]]:
