@@ -12,6 +12,7 @@ columns are ignored."""
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -175,20 +176,25 @@ def remove_lines(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", te
 
     A line goes if its host has it too often, so rows of one id and host can share their hashes. Rows without any keep
     their text as it is."""
-    each = decided.filter("removed_lines is not null").groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"))
-    gone = cut(each.agg(F.array_distinct(F.flatten(F.collect_list("removed_lines"))).alias("_gone")))
-    if gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0] <= BROADCAST_LINES:
+    id_, host_, gone_ = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "host", "gone"))
+    each = decided.filter("removed_lines is not null").groupBy(F.col("doc_id").alias(id_), F.col("host").alias(host_))
+    gone = cut(each.agg(F.array_distinct(F.flatten(F.collect_list("removed_lines"))).alias(gone_)))
+    if gone.agg(F.coalesce(F.sum(F.size(gone_)), F.lit(0))).first()[0] <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (host == F.col("_host")), "left")
-    out = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without_lines(text_col, "_gone")))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (host == F.col(host_)), "left")
+    out = joined.withColumn(text_col, F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(without_lines(text_col, gone_)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(gone_).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
     return out.select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others lose their boilerplate lines."""
-    decided = cut(quality_rules(docs, with_lines=True).select("doc_id", "host", "kept", "removed_lines"))
-    rejected = decided.filter("not kept").select("doc_id").distinct()
-    return remove_lines(by_ids(docs, rejected, "doc_id", "left_anti"), decided.filter("kept or doc_id is null"))
+    """Rows that the rules reject go, with or without an id; the others lose their boilerplate lines.
+
+    Decisions go back to rows by a hash of id, host and text, since rows that agree in these are decided alike."""
+    key = f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.xxhash64(F.struct(F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.col("text"))))
+    decided = cut(quality_rules(keyed.drop("doc_id").withColumnRenamed(key, "doc_id"), with_lines=True).select("doc_id", "host", "kept", "removed_lines"))
+    rejected = decided.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return remove_lines(by_ids(keyed, rejected, key, "left_anti"), decided.filter("kept"), id_col=key).select(*docs.columns)

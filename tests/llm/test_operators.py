@@ -508,6 +508,31 @@ def test_line_dedup_clashing_columns_and_long_lines(spark):
     assert {(r.doc_id, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == {(0, 0), (1, 1), (2, 0), (3, BASE.count("\n") + 1), (4, 0)}
 
 
+def test_bpe_every_code_point():
+    """Letters, numbers and lowering are the library's for every code point."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, ours = Tokenizer.from_file(path), bpe.encoder(bpe.tokenizer_bytes(path))
+    lib.no_truncation()
+    lib.no_padding()
+    points = [c for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 64):
+        text = " ".join(f"a{x}b{x}{x} 1{x}" for x in map(chr, points[k : k + 64]))
+        assert list(ours.ids(text)) == lib.encode(text, add_special_tokens=False).ids, hex(points[k])
+
+
+def test_stages_decide_rows(spark, tmp_path):
+    """Rows without an id are judged like others, and a row does not take others of its id with it."""
+    good, item = prose(60), prose(40)
+    rows = [(None, good, "h", 1), (None, "too short", "h", 2), (7, "too short", "h", 3), (7, good + " x", "h", 4), (8, good + " " + item, "h", 5), (None, item + " y", "h", 6), (8, good + " z", "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone int")
+    assert sorted(r._gone for r in quality_rules.stage(spark, docs, "").collect()) == [1, 4, 5, 6, 7]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r._gone for r in decontaminate.stage(spark, docs, str(tmp_path)).collect()) == [1, 2, 3, 4, 7]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [""]).limit(0)
     assert quality_rules.quality_rules(none).count() == 0
