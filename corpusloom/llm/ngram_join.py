@@ -162,8 +162,8 @@ def bucket_fill(docs: DataFrame, text_col: str) -> np.ndarray:
     def rows(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t in b.columns[0].to_pylist():
-                np.add.at(total, bucket(shingles(t)), 1)
+            for t in b.columns[0]:
+                np.add.at(total, bucket(shingles(t.as_py())), 1)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["k", "c"])
 
