@@ -78,3 +78,19 @@ SEVERITY = {"low": 0.15, "medium": 0.35, "high": 0.60, "critical": 1.0}
 CODE_CATEGORIES = ("secrets", "credential_dump")
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u2060\u2061\u2062\u2063\u2064"
 DIRECTION = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+
+# Cues that a text is about injection, the opening quotes, and the categories that no context makes milder.
+EXAMPLE_CUE = (
+    r"\b(example|examples|for\s+instance|e\.g\.|such\s+as|phrases?\s+like|payloads?|"
+    r"red[\s-]?team\w*|attackers?|attacks?|mitigat\w+|defen[cs]e|detect(?:ion|ing|or)?|"
+    r"vulnerab\w+|sample|test\s+(?:case|string|input)|known\s+as|quoted?|jailbreak\s+prompts?|"
+    r"defin(?:ed|es|ition)|glossary|refers\s+to|techniques?|tactics?|patterns?|signatures?|"
+    r"classif\w+|awareness|training\s+(?:material|module|course|deck)|wiki|article|blog|paper|"
+    r"flagged|warn(?:s|ing|ed)?\s+(?:about|against|that)|rule\s+(?:name|fires))\b"
+)
+OPENING_QUOTES = "\"'`\u201c\u2018\u00ab"
+NEVER_MILDER = ("model_token", "encoding_trick")
+# Categories that never flag a document, those that suggest a label, and the score that flags a page.
+SENSITIVITY_ONLY = ("secrets", "pii")
+SENSITIVITY_HINTS = ("secrets", "credential_dump", "pii")
+POLICY_THRESHOLD = 0.5

@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 
+#: Places to end a window at, the first kind that its last fifth has.
+ENDS = (". ", "! ", "? ", "\n\n", "\n", " ")
+
+
 def windows(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
-    """Windows that end at a sentence or a word in their last fifth; each starts `overlap` before the last one's end.
+    """Windows that end after a sentence, a line or a word of their last fifth; each starts `overlap` before the last one's end.
 
-    A last window may hold overlap only: the walk ends when a start is past the text."""
+    A text that fits is one window; a last window may hold overlap only, as the walk ends when a start is past the text."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
     out, start = [], 0
     while start < len(text):
         end = start + size
         if end < len(text):
-            tail = text[start + int(size * 0.8) : end]
-            cut = max(tail.rfind(x) for x in (". ", "! ", "? ", "\n"))
-            cut = cut + 1 if cut >= 0 else tail.rfind(" ")
-            if cut > 0:
-                end = start + int(size * 0.8) + cut
-        piece = text[start:end].strip()
-        if piece:
+            tail = text[end - int(size * 0.2) : end]
+            mark = next((m for m in ENDS if m in tail), None)
+            if mark:
+                end += tail.rindex(mark) + len(mark) - len(tail)
+        if piece := text[start:end].strip():
             out.append(piece)
-        start = end - overlap
+        start = max(end - overlap, start + 1)
     return out
 
 
@@ -46,7 +50,11 @@ def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     return rows.select(F.format_string("%s_p%s_c%s", F.col("document_id").cast("string"), F.col("page_number").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "page_number", "chunk_index", "text")
 
 
-ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e", "fig", "no", "vol", "pp", "al")
+# Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = (
+    "al", "e.g", "i.e", "cf", "fig", "figs", "eq", "eqs", "vs", "p", "pp", "vol", "no", "ed", "eds",
+    "ch", "sec", "dr", "mr", "mrs", "ms", "prof", "st", "approx", "ca", "etc", "inc", "ltd", "jr", "sr",
+)
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

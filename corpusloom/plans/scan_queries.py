@@ -50,7 +50,11 @@ def _(spark, d):
     return S.score(S.rule_hits(sql(spark, d, PAGES), POLICY))
 
 
-@query("policy_decision", f"WITH pages_ AS ({PAGES}), h AS {rules_sql(POLICY)} SELECT document_id, CASE WHEN bool_or(severity = 'critical') THEN 'quarantined' WHEN bool_or(severity = 'high') THEN 'flagged' ELSE 'clear' END AS status FROM pages_ LEFT JOIN h ON id = page_id GROUP BY 1")
+@query("policy_decision", f"""WITH pages_ AS ({PAGES}), all_ AS {rules_sql(POLICY)}, h AS (SELECT * FROM all_ WHERE category NOT IN ('secrets', 'pii')), s AS ({SCORE}),
+  f AS (SELECT id, bool_or(severity = 'critical') AS critical, bool_or(severity IN ('critical', 'high')) OR max(score) >= 0.5 AS flagged FROM h JOIN s USING (id) GROUP BY id),
+  k AS (SELECT id, bool_or(category IN ('secrets', 'credential_dump', 'pii')) AS hint FROM all_ GROUP BY id)
+  SELECT document_id, CASE WHEN bool_or(critical) THEN 'quarantined' WHEN bool_or(flagged) THEN 'flagged' ELSE 'clear' END AS status, CASE WHEN bool_or(hint) THEN 'confidential' END AS suggested
+  FROM pages_ LEFT JOIN f ON f.id = page_id LEFT JOIN k ON k.id = page_id GROUP BY 1""")
 def _(spark, d):
     p = sql(spark, d, PAGES)
     return S.policy_decision(S.rule_hits(p, POLICY), p)

@@ -36,12 +36,16 @@ def validate(sql: str) -> str:
     return text
 
 
+def expressions(sql: str) -> set[str]:
+    """Names of the common table expressions of a statement, in lower case."""
+    return {x.lower() for x in re.findall(r"(?i)(?:with|,)\s+(?:recursive\s+)?(\w+)(?:\s*\([^)]*\))?\s+as\s*\(", bare(sql))}
+
+
 def relations(spark: SparkSession, sql: str) -> set[str]:
     """Names of the relations that the parsed statement reads, without its own common table expressions."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
     names = {x.strip("[] ") for x in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    own = {x.lower() for x in re.findall(r"(?i)(?:with|,)\s+(?:recursive\s+)?(\w+)(?:\s*\([^)]*\))?\s+as\s*\(", bare(sql))}
-    return {n for n in names if n.lower() not in own}
+    return {n for n in names if n.lower() not in expressions(sql)}
 
 
 def query_table(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = 1000, deadline: float = DEADLINE) -> tuple[list[str], list[tuple], bool]:
@@ -53,6 +57,9 @@ def query_table(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max
     for name in relations(spark, text):
         if name.lower() not in known:
             raise ValueError(f"no such table: {name}")
+    for name in expressions(text) - known.keys():
+        if spark.catalog.tableExists(name):  # where the expression is out of scope, its name would reach that table
+            raise ValueError(f"{name} is no name for a common table expression")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     cap = max(1, min(MOST_ROWS, max_rows))
