@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from corpusloom.functions.text import FLIPPING
+from corpusloom.functions.text import FLIPPING, let
 from corpusloom.operators.search import STOPWORDS
 from corpusloom.operators.segment import sentence_spans
 
@@ -98,8 +98,12 @@ def overlap(sentence: Column, passage: Column) -> Column:
     """Share of a sentence's key words that begin a word of the passage; 0 with under four key words."""
     keys = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.isin(list(STOPWORDS))))
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " "))
-    hits = F.size(F.filter(keys, lambda w: F.contains(low, F.concat(F.lit(" "), w))))
-    return F.when(F.size(keys) < 4, 0.0).otherwise(hits / F.size(keys))
+
+    def share(k: Column) -> Column:
+        hits = let(low, lambda p: F.size(F.filter(k, lambda w: F.contains(p, F.concat(F.lit(" "), w)))))
+        return F.when(F.size(k) < 4, 0.0).otherwise(hits / F.size(k))
+
+    return let(keys, share)
 
 
 def differences(quote: Column, reading: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
 from corpusloom.operators.listing import servable
 
 
@@ -51,8 +52,7 @@ def match_references(references: DataFrame, library: DataFrame, min_title: int =
     first word run as an equi-join key before the containment test, so no all-pairs join is made."""
     by = lambda key, rank: references.join(library.select("paper_id", key), key).select("ref_id", "paper_id", F.lit(rank).alias("rank"), F.lit(0).alias("size"))
     lead = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
-    words = F.split("raw", " ")
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(2)), " "))
+    starts = let(F.split("raw", " "), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(2)), " ")))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     titled = library.filter(F.length("title_key") >= min_title).select("paper_id", "title_key", lead(F.col("title_key")).alias("lead"))
     contained = (

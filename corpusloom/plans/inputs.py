@@ -29,10 +29,10 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 CHUNKS = """SELECT doc_id AS chunk_id, CAST(floor(doc_id / 10) AS BIGINT) AS document_id, CAST(floor((doc_id % 10) / 3) AS BIGINT) AS page_number,
   doc_id % 10 AS chunk_index, text, lang FROM documents"""
 
-#: Entity mentions: runs of a capital and two or more small letters in a chunk's first 400 characters.
+#: Entity mentions: runs of a capital and two or more small letters in a chunk.
 ENTITIES = {
-    "spark": "SELECT DISTINCT doc_id AS chunk_id, lower(e) AS entity FROM (SELECT doc_id, explode(regexp_extract_all(substr(text, 1, 400), '[A-Z][a-z]{2,}', 0)) AS e FROM documents)",
-    "duckdb": "SELECT DISTINCT doc_id AS chunk_id, lower(e) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 400), '[A-Z][a-z]{2,}', 0)) AS e FROM documents)",
+    "spark": "SELECT DISTINCT doc_id AS chunk_id, lower(e) AS entity FROM (SELECT doc_id, explode(regexp_extract_all(text, '[A-Z][a-z]{2,}', 0)) AS e FROM documents)",
+    "duckdb": "SELECT DISTINCT doc_id AS chunk_id, lower(e) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}', 0)) AS e FROM documents)",
 }
 
 

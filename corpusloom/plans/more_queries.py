@@ -36,7 +36,7 @@ def _(spark, d):
 
 @query("webvtt")
 def _(spark, d):
-    return segment.webvtt(table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") * 7).alias("start"), (F.col("turn") * 7 + 5).alias("end"), F.substring("text", 1, 50).alias("text")))
+    return segment.webvtt(table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") * 7).alias("start"), (F.col("turn") * 7 + 5).alias("end"), "text"))
 
 
 @query("normalize_ocr")
@@ -50,7 +50,13 @@ def _(spark, d):
     return S.apply_suppressions(S.rule_hits(sql(spark, d, PAGES), R.INJECTION_PATTERNS), muted)
 
 
-@query("summarize_documents", f"WITH pages_ AS ({PAGES}), h AS {rules_sql(R.INJECTION_PATTERNS)}, r AS (SELECT document_id, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS r FROM pages_ LEFT JOIN h ON id = page_id GROUP BY 1) SELECT document_id, CASE r WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS level, r = 3 AS review FROM r")
+@query("summarize_documents", f"""WITH pages_ AS ({PAGES}), h AS {rules_sql(R.INJECTION_PATTERNS)}, s AS ({SCORE}), own AS (SELECT document_id, page_id AS id FROM pages_),
+  p AS (SELECT id, bool_or(severity = 'high' AND category <> 'meta_injection') AS high FROM h GROUP BY 1),
+  a AS (SELECT document_id, max(score) AS max_score, count(*) AS flagged_pages, count(*) FILTER (WHERE high) AS high_pages FROM own JOIN p USING (id) JOIN s USING (id) GROUP BY 1),
+  b AS (SELECT document_id, count(DISTINCT CASE WHEN severity = 'high' AND category <> 'meta_injection' THEN category END) AS high_categories, count(DISTINCT CASE WHEN category <> 'meta_injection' THEN category END) AS categories FROM own JOIN h USING (id) GROUP BY 1),
+  l AS (SELECT d.document_id, max_score, flagged_pages, high_categories, CASE WHEN max_score IS NULL THEN 'none' WHEN max_score >= 0.8 OR high_categories >= 2 OR high_pages >= 3 THEN 'high' WHEN high_categories >= 1 OR (max_score >= 0.7 AND categories >= 2) THEN 'medium' ELSE 'low' END AS level
+    FROM (SELECT DISTINCT document_id FROM pages_) d LEFT JOIN a USING (document_id) LEFT JOIN b USING (document_id))
+  SELECT document_id, level, level IN ('medium', 'high') AS review, coalesce(max_score, 0.0)::DOUBLE AS max_score, coalesce(flagged_pages, 0) AS flagged_pages, coalesce(high_categories, 0) AS high_categories FROM l""")
 def _(spark, d):
     p = sql(spark, d, PAGES)
     return S.summarize_documents(S.rule_hits(p, R.INJECTION_PATTERNS), p)

@@ -50,8 +50,8 @@ def _(spark, d):
 
 
 REFS = """SELECT doc_id AS ref_id, CASE WHEN doc_id % 4 = 0 THEN '10.1000/' || (doc_id % 97) END AS doi, CASE WHEN doc_id % 4 = 1 THEN '2401.' || (doc_id % 89) END AS arxiv_id,
-  lower(substr(text, 1, 300)) AS raw FROM documents"""
-PAPERS = """SELECT doc_id AS paper_id, '10.1000/' || doc_id AS doi, '2401.' || doc_id AS arxiv_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)) AS title_key FROM documents WHERE doc_id < 100"""
+  lower(text) AS raw FROM documents"""
+PAPERS = """SELECT doc_id AS paper_id, '10.1000/' || doc_id AS doi, '2401.' || doc_id AS arxiv_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)) AS title_key FROM documents"""
 
 
 @query("match_references", f"""WITH refs AS ({REFS}), papers AS ({PAPERS}),
@@ -220,7 +220,7 @@ def _(spark, d):
     return docs(spark, d).filter((F.col("num_chunks") == 2) & (F.coalesce("source_type", F.lit("")) == "")).select("document_id").distinct()
 
 
-HITS = "(SELECT doc_id AS id, round(1.0 / (1 + doc_id % 17), 4)::DOUBLE AS score, doc_id % 10 = 3 AS superseded FROM documents WHERE doc_id < 200)"
+HITS = "(SELECT doc_id AS id, round(1.0 / (1 + doc_id % 17), 4)::DOUBLE AS score, doc_id % 10 = 3 AS superseded FROM documents)"
 
 
 @query("demote_superseded", f"SELECT id, round(CASE WHEN superseded THEN greatest(0, score - 0.15) ELSE score END, 4) AS score, row_number() OVER (ORDER BY round(CASE WHEN superseded THEN greatest(0, score - 0.15) ELSE score END, 4) DESC, id) AS rank FROM {HITS}")

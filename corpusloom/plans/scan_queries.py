@@ -167,10 +167,10 @@ def _(spark, d):
     return G.pagerank(edges(spark, d)).withColumn("rank", F.round("rank", 6))
 
 
-COMP = "SELECT l_orderkey AS a, l_orderkey + 4 AS b, 1.0D AS weight FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_orderkey < 3000"
+COMP = "SELECT l_orderkey AS a, l_orderkey + 4 AS b, 1.0D AS weight FROM lineitem WHERE l_linenumber = 1"
 
 
-@query("graph_components", "WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_orderkey + 4 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_orderkey < 3000), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(a, b) AS (SELECT a, a FROM s UNION SELECT c.a, s.b FROM c JOIN s ON s.a = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
+@query("graph_components", "WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_orderkey + 4 AS b FROM lineitem WHERE l_linenumber = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(a, b) AS (SELECT a, a FROM s UNION SELECT c.a, s.b FROM c JOIN s ON s.a = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
 def _(spark, d):
     return G.components(sql(spark, d, COMP))
 
@@ -205,9 +205,9 @@ def _(spark, d):
     return G.distinctive_terms(p.select(F.col("p_partkey").alias("node"), F.explode(F.split(F.lower("p_name"), " ")).alias("term")), p.select(F.col("p_partkey").alias("node"), (F.col("p_size") % 5).alias("community")))
 
 
-# Fault trees: cut sets of three events out of 60, in contexts of 40.
+# Fault trees: cut sets of three events out of 60, one an order, in 50 contexts.
 EVENTS = "SELECT 'E' || p_partkey AS name, CASE WHEN p_partkey % 20 = 0 THEN 'house' ELSE 'basic' END AS kind, CASE WHEN p_partkey % 20 = 0 THEN 1.0D WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey / 1000.0D END AS probability, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 20 <> 0 THEN 1e-5D END AS failure_rate, CASE WHEN p_partkey % 14 = 0 THEN 100.0D END AS mission_time FROM part WHERE p_partkey < 60"
-CUTS = "SELECT 'T' || (o_custkey % 5) AS context, o_orderkey AS rank, 'E' || (1 + o_orderkey % 50) || ' * ' || CASE WHEN o_orderkey % 4 = 0 THEN '/' ELSE '' END || 'E' || (1 + o_custkey % 53) || ' * E' || (1 + o_orderkey % 50) AS events FROM orders WHERE o_orderkey < 800"
+CUTS = "SELECT 'T' || (o_custkey % 50) AS context, o_orderkey AS rank, 'E' || (1 + o_orderkey % 50) || ' * ' || CASE WHEN o_orderkey % 4 = 0 THEN '/' ELSE '' END || 'E' || (1 + o_custkey % 53) || ' * E' || (1 + o_orderkey % 50) AS events FROM orders"
 RISK = f"""e AS (SELECT name AS event, CASE WHEN kind = 'house' THEN probability ELSE coalesce(probability, 1 - exp(-failure_rate * coalesce(mission_time, 8760))) END AS p FROM ({re.sub(r'(?<=[0-9])D', '', EVENTS)})),
   c AS (SELECT * FROM ({CUTS})), l AS (SELECT DISTINCT context, rank, trim(x) AS literal FROM (SELECT context, rank, unnest(string_split(events, '*')) AS x FROM c)),
   v AS (SELECT context, rank, literal, ltrim(literal, '/') AS event, CASE WHEN starts_with(literal, '/') THEN 1 - p ELSE p END AS v FROM l LEFT JOIN e ON e.event = ltrim(literal, '/')), q AS (SELECT context, rank, product(v) AS p FROM v GROUP BY 1, 2)"""
@@ -228,10 +228,10 @@ def _(spark, d):
     return K.totals(K.quantify(sql(spark, d, CUTS), sql(spark, d, EVENTS))).withColumns({"rare_event": F.round("rare_event", 9), "mcub": F.round("mcub", 9)})
 
 
-@query("ranked_cut_sets", f"WITH {RISK} SELECT context, rank, place, round(p, 12) AS probability, round(share, 9) AS share FROM (SELECT context, rank, p, row_number() OVER (PARTITION BY context ORDER BY p DESC, rank) AS place, p / sum(p) OVER (PARTITION BY context) AS share FROM (SELECT context, rank, round(p, 12) AS p FROM q)) WHERE place <= 10")
+@query("ranked_cut_sets", f"WITH {RISK} SELECT context, rank, place, round(p, 12) AS probability, round(share, 6) AS share FROM (SELECT context, rank, p, row_number() OVER (PARTITION BY context ORDER BY p DESC, rank) AS place, p / sum(p) OVER (PARTITION BY context) AS share FROM (SELECT context, rank, round(p, 12) AS p FROM q)) WHERE place <= 10")
 def _(spark, d):
     out = K.ranked_cut_sets(sql(spark, d, CUTS), sql(spark, d, EVENTS), 10)
-    return out.withColumns({"probability": F.round("probability", 12), "share": F.round("share", 9)})
+    return out.withColumns({"probability": F.round("probability", 12), "share": F.round("share", 6)})
 
 
 @query("importance", f"""WITH {RISK}, t AS (SELECT context, sum(p) AS total FROM q GROUP BY 1), f AS (SELECT x.context, x.rank, x.event, x.literal, coalesce(product(y.v), 1) AS rest FROM v x LEFT JOIN v y ON x.context = y.context AND x.rank = y.rank AND x.event <> y.event GROUP BY ALL),

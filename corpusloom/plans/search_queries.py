@@ -182,10 +182,11 @@ def _(spark, d):
     return best.select("query_id", E.hit_at(F.col("best"), 5).alias("hit_5"), F.round(E.reciprocal(F.col("best")), 9).alias("reciprocal"))
 
 
-@query("probe_keywords", f"""WITH t AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents WHERE doc_id < 300), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  s AS (SELECT id, term, round(tf * ln(1 + 300.0::DOUBLE / df), 6) AS score FROM tf JOIN df USING (term)) SELECT id, term, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, length(term) DESC, term) AS k FROM s) WHERE k <= 5""")
+@query("probe_keywords", f"""WITH t AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT id, term, round(tf * ln(1 + n / df), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN n) SELECT id, term, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, length(term) DESC, term) AS k FROM s) WHERE k <= 5""")
 def _(spark, d):
-    return E.probe_keywords(table(spark, d, "documents").filter("doc_id < 300"), 300, 5)
+    x = table(spark, d, "documents")
+    return E.probe_keywords(x, x.count(), 5)
 
 
 @query("citation_summary", "SELECT round(sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) / count(*), 6) AS citation_precision, round(avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0 END), 6) AS supported_rate, count(*) AS sentences FROM lineitem")

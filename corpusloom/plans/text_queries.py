@@ -65,7 +65,7 @@ def _(spark, d):
 
 @query("fold_results")
 def _(spark, d):
-    hits = sql(spark, d, "SELECT doc_id % 20 AS query_id, doc_id AS id, doc_id AS rank, 1.0D AS score, doc_id % 10 = 3 AS superseded, text FROM documents WHERE doc_id < 1000")
+    hits = sql(spark, d, "SELECT doc_id div 50 AS query_id, doc_id AS id, doc_id AS rank, 1.0D AS score, doc_id % 10 = 3 AS superseded, text FROM documents")
     return D.fold_results(hits)
 
 
@@ -109,9 +109,9 @@ def _(spark, d):
     return spark.createDataFrame(sorted(types.items()), "name string, type string")
 
 
-@query("typed_table", "SELECT event_id, event_id * 1.5::DOUBLE AS amount, CAST(event_id * 1.5 AS VARCHAR) AS amount__raw, event_id % 2 = 0 AS even FROM events WHERE event_id < 500")
+@query("typed_table", "SELECT event_id, event_id * 1.5::DOUBLE AS amount, CAST(event_id * 1.5 AS VARCHAR) AS amount__raw, event_id % 2 = 0 AS even FROM events")
 def _(spark, d):
-    rows = sql(spark, d, "SELECT CAST(event_id AS STRING) AS event_id, CAST(CAST(event_id * 1.5 AS DECIMAL(20,1)) AS STRING) AS amount, CASE event_id % 2 WHEN 0 THEN 'y' ELSE 'n' END AS even FROM events WHERE event_id < 500")
+    rows = sql(spark, d, "SELECT CAST(event_id AS STRING) AS event_id, CAST(CAST(event_id * 1.5 AS DECIMAL(20,1)) AS STRING) AS amount, CASE event_id % 2 WHEN 0 THEN 'y' ELSE 'n' END AS even FROM events")
     return I.coerce(rows, {"event_id": "integer", "amount": "real", "even": "boolean"}).select("event_id", "amount", "amount__raw", (F.col("even") == 1).alias("even"))
 
 

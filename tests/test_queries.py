@@ -51,4 +51,4 @@ def test_query_equals_its_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
     """The whole plan runs, and gives rows: no registered query may be right for want of input."""
-    assert registry.QUERIES[name](spark, sf).collect()
+    assert registry.QUERIES[name](spark, sf.replace("sf0.001", "sf0.01")).collect()
