@@ -16,7 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows that go to a Python worker at a time; texts may be long, and both sides hold several copies of a batch.
+ROWS_PER_BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; sets the session's Arrow batches to a size that suits whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
