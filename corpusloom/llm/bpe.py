@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import by_ids, table
+from corpusloom.llm.common import by_ids, lean, table
 
 #: Words whose tokens are kept, and the longest of them; all others go through the transducer again.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 100_000, 64
 #: Symbols that the transducer takes in at a time beyond its lookahead, and characters of text split at a time.
 STEP, SLICE = 256, 1 << 16
 
@@ -334,7 +334,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 yield pa.record_batch(columns, schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encoded, ddl)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(encoded), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(rows):
+    """A map over Arrow batches that gives its memory back to the system when its task ends, as workers live on."""
+
+    def run(batches):
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own account
+            pass
+
+    return run
+
+
 def let(value, body):
     """body(value) with the value computed once a row: inside a lambda Spark evaluates an outer expression for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_IDS, Scratch, by_ids, table
+from corpusloom.llm.common import BROADCAST_IDS, Scratch, by_ids, lean, table
 from corpusloom.llm.components import connected_components
 
 SIZE, GROUPS, BUCKETS = 5, 256, 1 << 16
@@ -153,7 +153,7 @@ def shingled(docs: DataFrame, fill, id_col: str, text_col: str) -> DataFrame:
                     names=["doc_id", "n", "mark", "keys", "point"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc_id long, n long, mark binary, keys array<long>, point binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(rows), "doc_id long, n long, mark binary, keys array<long>, point binary")
 
 
 def bucket_fill(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -168,7 +168,7 @@ def bucket_fill(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["k", "c"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select(text_col).mapInArrow(rows, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+    for r in docs.select(text_col).mapInArrow(lean(rows), "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         out[r.k] = r.c
     return out
 
@@ -184,7 +184,7 @@ def checked(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, id_c
             for k in range(0, b.num_rows, 500):
                 yield pa.record_batch([b.columns[0][k : k + 500], pa.array([shingles(t).tobytes() for t in b.columns[1][k : k + 500].to_pylist()], pa.binary())], names=["i", "h"])
 
-    hashes = scratch.put(f"{name}_sets", by_ids(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), ids, id_col, "left_semi").mapInArrow(sets, "i long, h binary"))
+    hashes = scratch.put(f"{name}_sets", by_ids(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), ids, id_col, "left_semi").mapInArrow(lean(sets), "i long, h binary"))
     size = pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("runs", F.ceil(F.col("m") / STAR).cast("int"))
     runs = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), "b")
     members = runs.join(hashes, F.col("b") == F.col("i")).select("a", "run", "b", "h")
@@ -213,7 +213,7 @@ def checked(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, id_c
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     dealt = both.repartition(F.col("a"), F.col("run")).sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
-    links = scratch.put(name, dealt.mapInArrow(similar, "a long, b long").distinct())
+    links = scratch.put(name, dealt.mapInArrow(lean(similar), "a long, b long").distinct())
     scratch.drop(f"{name}_sets")
     return links
 
@@ -248,7 +248,7 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     dealt = rows.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "doc_id")
-    return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(found, "a long, b long").distinct()
+    return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(lean(found), "a long, b long").distinct()
 
 
 def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
             yield t.select(["a", "b"]).filter(pa.array(9 * low >= 4 * (na + nb), pa.bool_()))
 
     p = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return p.mapInArrow(allowed, "a long, b long").distinct()
+    return p.mapInArrow(lean(allowed), "a long, b long").distinct()
 
 
 def shared_keys(postings: DataFrame, fill: np.ndarray) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusloom.llm.common import by_ids, cut, table, words
+from corpusloom.llm.common import by_ids, cut, lean, table, words
 
 WINDOW = 8
 #: Hashes of lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
@@ -133,7 +133,7 @@ def quality_rules(
     The text is read once; what is shuffled is a hash and two counts a line, summed before the shuffle."""
     base = cut(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-        .mapInArrow(_measured, SCHEMA)
+        .mapInArrow(lean(_measured), SCHEMA)
         .withColumn("row", F.monotonically_increasing_id())
     )
     lines = base.select("row", "host", F.inline("lines"))
