@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, snapshot_diff, toxicity, warc
+from corpusloom.llm import bpe, decontaminate, html_extract, line_dedup, ngram_join, packing, prefix_trie, quality_model, quality_rules, secrets, snapshot_diff, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
     "op10_ngram_join": ngram_join.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_snapshot_diff": snapshot_diff.query,
+    "op13_html_extract": html_extract.query,
 }
 ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op12_snapshot_diff": snapshot_diff.ORACLE,
+    "op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_ngram_join": ngram_join.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE, "op12_snapshot_diff": snapshot_diff.ORACLE,
 }
