@@ -19,7 +19,7 @@ from corpusloom.llm.wrappers import align, dump, infer, load, show, slots
 
 #: Expressions that one task aligns at a time; rounds go on until a host has one.
 ALIGNED = 64
-#: A text slot is template only if the host has so many different pages, and all that have the slot agree on its text.
+#: A text slot is template only if the host has so many different pages, and all of its pages have the slot with one text.
 TEMPLATE_PAGES = 20
 #: Kept slots are broadcast up to so many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 8 << 20
@@ -188,10 +188,9 @@ def _decide(frames):
 
 def _sums(rows: DataFrame, *by: str) -> DataFrame:
     """Sums over slots as one array a row of `by`; template text is one text on all of a host's pages, which differ."""
-    same = (F.min("least") == F.max("most")) & (F.max("different") >= TEMPLATE_PAGES)
-    slot = rows.groupBy(*by, "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("n").alias("n"), F.sum("pages").alias("on"), same.alias("same"))
-    told = F.struct("slot", "chars", "links", (F.col("same") & (F.col("on") >= TEMPLATE_PAGES)).alias("same"))
-    return slot.groupBy(*by).agg(F.collect_list(told).alias("stats"))
+    same = (F.min("least") == F.max("most")) & (F.max("different") >= TEMPLATE_PAGES) & (F.sum("pages") == F.max("all_pages"))
+    slot = rows.groupBy(*by, "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), same.alias("same"))
+    return slot.groupBy(*by).agg(F.collect_list(F.struct("slot", "chars", "links", "same")).alias("stats"))
 
 
 def kept_slots(scratch: Scratch, pages: DataFrame) -> DataFrame:
@@ -202,11 +201,11 @@ def kept_slots(scratch: Scratch, pages: DataFrame) -> DataFrame:
     own = F.md5("expression").alias("id")
     # one row an expression and host: counted before the shuffle
     expressions = scratch.put("expressions", pages.groupBy("host", "expression").agg(F.count("*").alias("pages")))
-    different = pages.groupBy("host").agg(F.approx_count_distinct(F.xxhash64("texts")).alias("different"))
+    different = pages.groupBy("host").agg(F.count("*").alias("all_pages"), F.approx_count_distinct(F.xxhash64("texts")).alias("different"))
     blocks = pages.select("host", own, F.explode(F.arrays_zip("slots", "texts", "links")).alias("b"))
     text = F.xxhash64("b.texts")
     blocks = blocks.groupBy("host", "id", F.col("b.slots").alias("slot")).agg(
-        F.sum(F.length("b.texts")).alias("chars"), F.sum("b.links").alias("links"), F.count("*").alias("n"), F.min(text).alias("least"), F.max(text).alias("most")
+        F.sum(F.length("b.texts")).alias("chars"), F.sum("b.links").alias("links"), F.min(text).alias("least"), F.max(text).alias("most")
     )
     counted = expressions.select("host", own, "pages")
     blocks = scratch.put("blocks", blocks.join(counted, ["host", "id"]).join(different, "host"))
