@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint(eager=True)
+from corpusloom.storage import cut as checkpointed
 
 
 def project(memberships: DataFrame, max_group_size: int = 50) -> DataFrame:

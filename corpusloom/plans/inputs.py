@@ -8,7 +8,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps",
+)
 
 #: Documents of the data model: one row each with name, format, size, policy status and replaced-by pointer.
 DOCS = """SELECT d.doc_id AS document_id,
