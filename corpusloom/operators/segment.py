@@ -31,7 +31,7 @@ def windows(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
                 end += tail.rindex(mark) + len(mark) - len(tail)
         if piece := text[start:end].strip():
             out.append(piece)
-        start = max(end - overlap, start + 1)
+        start = max(end - overlap, start + 1) if overlap < size else end
     return out
 
 

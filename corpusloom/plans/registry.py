@@ -32,4 +32,4 @@ def load() -> None:
         import_module(f"corpusloom.plans.{name}")
 
 
-MODULES = ["listing_queries", "relational_queries", "search_queries", "text_queries", "scan_queries", "ingest_queries", "grounding_queries", "more_queries", "composed_queries"]
+MODULES = ["listing_queries", "relational_queries", "search_queries", "text_queries", "scan_queries", "ingest_queries", "grounding_queries", "more_queries", "composed_queries", "structure_queries"]
