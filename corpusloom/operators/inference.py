@@ -46,36 +46,22 @@ def percent() -> TypeExtension:
 def infer(rows: DataFrame, registry: Registry | None = None) -> dict[str, str]:
     """Column -> type, for a table of strings: boolean, date, registered types, integer, real, text in that order.
 
-    By contract types look at the first values only: the flags of at most SAMPLE rows come to the driver, by column."""
-    types = registry.types if registry else []
-    sample = rows.limit(SAMPLE).persist()
-    found = {}
-    for c in rows.columns:
-        v = F.when(~T.is_null_marker(F.col(c)), F.col(c))
-        flags = sample.select(
-            F.lower(F.trim(v)).alias("v"), T.is_bool(v).alias("bool"), T.parse_date(v).isNotNull().alias("date"), T.parse_number(v).alias("number"), *[t.test(v).alias(f"x{j}") for j, t in enumerate(types)]
-        ).filter("v is not null").collect()
-        n = len(flags)
-        enough = lambda hits: n and sum(map(bool, hits)) >= SHARE * n  # noqa: B023, E731
-        numbers = [r.number for r in flags if r.number is not None]
-        if n and all(r.bool for r in flags) and len({r.v for r in flags}) <= BOOLEANS:
-            found[c] = "boolean"
-        elif enough(r.date for r in flags):
-            found[c] = "date"
-        else:
-            own = next((t.name for j, t in enumerate(types) if enough(r[f"x{j}"] for r in flags)), None)
-            whole = all(x == int(x) for x in numbers)
-            found[c] = own or ("integer" if enough(r.number is not None for r in flags) and whole else "real" if enough(r.number is not None for r in flags) else "text")
-    sample.unpersist()
-    return found
+    One pass over all columns (sources.tables.profile); one row a column comes to the driver."""
+    from corpusloom.sources.tables import profile
+
+    found = {r["column"]: r["type"] for r in profile(rows, registry=registry).select("column", "type").collect()}
+    return {c: found.get(c, "text") for c in rows.columns}
 
 
-def coerce(rows: DataFrame, types: dict[str, str], registry: Registry | None = None) -> DataFrame:
-    """Typed columns; one that is not text keeps its trimmed original in <name>__raw."""
+def coerce(rows: DataFrame, types: dict[str, str], registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns; one that is not text keeps its trimmed original in <name>__raw. Columns to `keep` stay as they are."""
     own = {t.name: t for t in registry.types} if registry else {}
     out = []
     for c, kind in types.items():
         v = F.col(c)
+        if c in keep:
+            out.append(v)
+            continue
         if kind in own:
             out.append(own[kind].coerce(v).cast(own[kind].data_type).alias(c))
         else:

@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import NULL_MARKERS
+from corpusloom.operators import authors as A
 from corpusloom.operators import grounding as G
 from corpusloom.operators import structured as T
-from corpusloom.plans.inputs import chunks, table
+from corpusloom.plans.inputs import chunks, entities, over, table
 from corpusloom.plans.registry import query
+from corpusloom.sources import tables as TB
+from corpusloom.storage import shared_folder
 
 
 def pages(spark, d):
@@ -39,3 +43,66 @@ def _(spark, d):
     answer = F.concat(F.lit("The text has "), F.col("n_chars").cast("string"), F.lit(" characters [Source 1]. It is from "), F.col("source"), F.lit(", as "), (F.col("n_chars") + F.pmod("doc_id", F.lit(3))).cast("string"), F.lit(" shows [Source "), (1 + F.pmod("doc_id", F.lit(4))).cast("string"), F.lit("]."))
     passages = F.array(F.concat(F.lit("length "), F.format_number("n_chars", 0)), F.concat(F.col("source"), F.lit(" "), F.col("n_chars").cast("string")), F.col("text"))
     return x.select("doc_id", F.inline(G.failures(answer, passages)))
+
+
+def printed_names(spark, d):
+    """Names as papers print them: those of clients and vendors, and the same with the first name as an initial."""
+    names = table(spark, d, "clients").select(F.trim("name").alias("raw")).unionByName(table(spark, d, "vendors").select(F.trim("name").alias("raw"))).filter("raw LIKE '% %'")
+    return names.unionByName(names.select(F.concat(F.substring("raw", 1, 1), F.lit(". "), F.substring_index("raw", " ", -1)).alias("raw")))
+
+
+@query("resolved_authors")
+def _(spark, d):
+    return A.resolve_authors(printed_names(spark, d))[0]
+
+
+@query("authors_kept_apart")
+def _(spark, d):
+    return A.resolve_authors(printed_names(spark, d))[2]
+
+
+@query("author_graph")
+def _(spark, d):
+    """Vendors that sell together, a sale standing for a paper."""
+    lines = table(spark, d, "sale_lines").select("sale_id", "vendor_id").distinct().join(table(spark, d, "vendors").select("vendor_id", "name"), "vendor_id")
+    return A.author_graph(lines.select(F.col("sale_id").alias("paper_id"), F.col("name").alias("author")))
+
+
+@query("entity_graph", over("""SELECT * FROM (WITH m AS (SELECT DISTINCT document_id, entity FROM entities JOIN chunks USING (chunk_id)), k AS (SELECT entity, count(*) AS df FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(2, floor((SELECT count(DISTINCT document_id) FROM m) * 0.3)) ORDER BY df DESC, entity LIMIT 200),
+  f AS (SELECT document_id, entity FROM m SEMI JOIN k USING (entity)) SELECT x.entity AS a, y.entity AS b, count(*) AS weight, list_sort(list(x.document_id)) AS groups FROM f x JOIN f y ON x.document_id = y.document_id AND x.entity < y.entity GROUP BY ALL)"""))
+def _(spark, d):
+    return A.entity_graph(entities(spark, d).join(chunks(spark, d).select("chunk_id", "document_id"), "chunk_id").select("document_id", "entity"))
+
+
+MARKERS = ",".join("'" + m + "'" for m in NULL_MARKERS)
+CELLS = "UNPIVOT (SELECT item_id AS pos, coalesce(name, '') AS name, coalesce(brand, '') AS brand, coalesce(kind, '') AS kind, coalesce(size::VARCHAR, '') AS size, coalesce(price::VARCHAR, '') AS price FROM items) ON name, brand, kind, size, price INTO NAME col VALUE v"
+
+
+@query("table_profile", f"""WITH c AS ({CELLS}), f AS (SELECT col, trim(v) AS v, try_cast(trim(v) AS DOUBLE) AS n, row_number() OVER (PARTITION BY col ORDER BY pos) AS k FROM c WHERE lower(trim(v)) NOT IN ({MARKERS})),
+  s AS (SELECT col, count(*) AS size, count(DISTINCT v) AS distinct_count, count(n) AS numbers, bool_and(n = floor(n)) AS whole, list_sort(list(n) FILTER (WHERE n IS NOT NULL)) AS l FROM f WHERE k <= 2000 GROUP BY 1),
+  t AS (SELECT *, CASE WHEN numbers >= 0.8 * size AND whole THEN 'integer' WHEN numbers >= 0.8 * size THEN 'real' ELSE 'text' END AS type FROM s), u AS (SELECT col, (SELECT count(*) FROM c x WHERE x.col = c.col AND lower(trim(x.v)) IN ({MARKERS})) AS null_count FROM c GROUP BY 1)
+  SELECT col AS "column", type, null_count, distinct_count, CASE WHEN type <> 'text' THEN l[1] END AS "min", CASE WHEN type <> 'text' THEN l[-1] END AS "max", CASE WHEN type <> 'text' THEN round(list_sum(l), 4) END AS "sum",
+    CASE WHEN type <> 'text' THEN l[1 + round_even(0.5 * (len(l) - 1), 0)::INT] END AS p50, CASE WHEN type <> 'text' THEN numbers END AS "count" FROM t JOIN u USING (col)""")
+def _(spark, d):
+    items = table(spark, d, "items").select(F.col("item_id").alias("pos"), *[F.col(c).cast("string").alias(c) for c in ("name", "brand", "kind", "size", "price")])
+    return TB.profile(items, "pos").select("column", "type", "null_count", "distinct_count", "min", "max", F.round("sum", 4).alias("sum"), "p50", "count")
+
+
+def catalogue(spark, d) -> TB.Tables:
+    """Items, vendors and nations as typed tables, items written twice; nations are hidden."""
+    found = TB.Tables(spark, shared_folder(spark, "tables"))
+    for name, key in (("items", "item_id"), ("vendors", "vendor_id"), ("nation", "n_nationkey"), ("items", "item_id")):
+        rows = table(spark, d, name)
+        found.create(name, f"{name}.csv", rows.select(F.col(key).alias("_at"), *[F.col(c).cast("string").alias(c) for c in rows.columns]), order="_at")
+    found.hide("csv_data_nation")
+    return found
+
+
+@query("catalogue_tables", "SELECT 'csv_data_items' AS table_name, 'items.csv' AS filename, count(*) AS row_count, 6 AS column_count, 2 AS version FROM items UNION ALL SELECT 'csv_data_vendors', 'vendors.csv', count(*), 4, 1 FROM vendors")
+def _(spark, d):
+    return catalogue(spark, d).tables().select("table_name", "filename", "row_count", "column_count", "version")
+
+
+@query("catalogue_rows", "SELECT row_number() OVER (ORDER BY item_id) AS __row_number, item_id, price FROM items")
+def _(spark, d):
+    return catalogue(spark, d).read("csv_data_items").select("__row_number", "item_id", "price")
