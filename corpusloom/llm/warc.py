@@ -112,7 +112,8 @@ def between_magics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaps(places: list[int], successors: list[int | None]) -> tuple[list[int | None], list[int | None]]:
-    """Where each candidate's chain leaves the range, and the last candidate before; None where a chain breaks off."""
+    """Where each candidate's chain leaves the range, and the last candidate before; None where a chain breaks off, though
+    the records before that are sound."""
     out: list = [None] * len(places)
     last: list = [None] * len(places)
     known = {p: k for k, p in enumerate(places)}
@@ -161,7 +162,7 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = cut(between_magics(spark, path).select("file", "range", F.octet_length("value").cast("long"), head.alias("head")).mapInArrow(found, "file string, range long, place long, size long, leap long, last long"))
     earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = cut(rows.groupBy("file", "range").agg(F.sum("size").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0))))
-    absolute = rows.filter("leap is not null").drop("size").join(few(ranges, BROADCAST_RANGES), ["file", "range"])
+    absolute = rows.drop("size").join(few(ranges, BROADCAST_RANGES), ["file", "range"])
     return absolute.select("file", "range", *((F.col("base") + F.col(c)).alias(x) for c, x in (("place", "at"), ("leap", "leap"), ("last", "last")))).filter("at >= 0"), ranges
 
 
@@ -213,7 +214,12 @@ def walk(batches):
                 at, here, wanted, open_ = (file, start), base, entry, None
             place, here = here, here + len(value) + n
             if place - n == wanted:
-                wanted = place + body(value[: value.index(b"\r\n\r\n")])
+                stop = value.find(b"\r\n\r\n")
+                size = body(value[:stop]) if stop >= 0 else None
+                if size is None:  # a header that says no length: the chain ends before it
+                    wanted = None
+                    continue
+                wanted = place + size
                 open_ = (file, place - n, place, wanted, [value])
             elif open_:
                 open_[4].append(MAGIC + value)

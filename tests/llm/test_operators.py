@@ -497,6 +497,29 @@ def test_warc_cut_off(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 4
 
 
+@pytest.mark.parametrize("narrow", [False, True])
+@pytest.mark.parametrize("damage", ["payload", "header", "length", "blank line"])
+def test_warc_damaged_record_costs_no_other(spark, tmp_path, damage, narrow):
+    """Whatever is wrong with a record, those before it are read, also where byte ranges are small."""
+    warc.write_archives(spark.createDataFrame([(k, "u", f"p{k}" * 50) for k in range(6)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    [file] = (tmp_path / "w").glob("part-*")
+    raw = file.read_bytes()
+    last = raw.rindex(warc.MAGIC) + len(warc.MAGIC)
+    file.write_bytes({
+        "payload": raw[:-20], "header": raw[: last + 40], "length": raw[:last] + raw[last:].replace(b"Content-Length: ", b"Content-Length: x"),
+        "blank line": raw[:last] + raw[last:].replace(b"\r\n\r\n", b"\r\n"),
+    }[damage])
+    (tmp_path / "w" / f".{file.name}.crc").unlink()
+    if narrow:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_line_dedup_clashing_columns_and_long_lines(spark):
     """Columns of the operator's own names, a line of very many words, repeated rows, ids with several texts."""
     long = " ".join(f"w{k % 5000}" for k in range(60_000))
