@@ -2,14 +2,15 @@
 
 A document's set is its distinct 5-word shingles; two documents link when 5 * intersection >= 4 * union. Shingles are
 hashed into 256 groups and a document is the point of its group counts, whose summed coordinate minima bound an overlap
-from above. An R-tree of such points alone would compare all documents of like length, so its top level is a table of
-keys: of sets this similar, each holds some of its first fifth of shingles, in one common order, in common with the
-other. An R-tree is built within each key and joined with itself; pairs whose bound survives are checked on the whole sets.
+from above. An R-tree of such points alone would compare all documents of like length, so keys cut below its top level:
+of sets this similar, each holds some of its first fifth of shingles, in one common order, in common with the other. All
+candidates are answers of the R-tree of a key's members; pairs that it gives are checked on the whole sets.
 
 The common order puts shingles in rarely filled buckets first, so that passages shared by many documents seldom become
-keys. Copies are folded into one before anything is compared. Of the others, all that share a key are checked against
-the first of them, and only documents that are not yet in one component are compared further, so a group of n near
-copies costs n checks and not n * n; as components are closed over links, no link between different components is lost.
+keys. Copies are folded into one before anything is compared, and of keys with the same members one goes on. First the
+first member of each key asks its tree. Then, of members that are not all in one component yet, those outside the key's
+largest component ask, and answers of their own component are dropped as they come. So a group of n near copies costs n
+checks and not n * n; as components are closed over links, no link between different components is lost.
 
 Defined cases: null and empty texts have no set and are their own component; texts of under five words are one shingle;
 equal rows are copies; an id with several texts links with what any of them links with, and all its rows have one
@@ -82,10 +83,10 @@ def counts_of(raw: bytes) -> np.ndarray:
 class RTree:
     """Points packed by sort-tile-recursive order, with the coordinate maxima and the size range of each node."""
 
-    FAN = 16
+    FAN = 4
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        self.sizes, self.points = sizes, points
+        self.sizes, self.points, self.visited = sizes, points, 0
         order = self._tile(np.arange(len(sizes)), 0)
         self.order = order
         self.levels = []
@@ -119,20 +120,14 @@ class RTree:
             if at is None:
                 at = np.arange(len(top))
             at = at[at < len(top)]
+            self.visited += len(at)
             at = at[self.allows(top[at], low[at], high[at], size, q)]
             at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
         at = self.order if at is None else self.order[at[at < len(self.order)]]
+        self.visited += len(at)
         s = self.sizes[at]
         return at[self.allows(self.points[at], s, s, size, q)]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of members, each twice, whose bound allows a link; of a tree of one leaf at once."""
-        if not self.levels:
-            s, q = self.sizes[:, None], self.points[:, None]
-            return np.nonzero(self.allows(self.points[None], self.sizes[None], self.sizes[None], s, q))
-        hits = [self.search(int(s), q) for s, q in zip(self.sizes, self.points)]
-        return np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate(hits)
-
 
 def shingled(docs: DataFrame, fill, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, mark, keys, point) of each document."""
@@ -218,51 +213,80 @@ def checked(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, id_c
     return links
 
 
-def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs within a key, of different components, whose bound allows a link: the self-join of the key's R-tree.
-
-    rows: key, run, part, doc_id, n, point, component; of a group in two parts, only pairs across them."""
-
-    def pairs_of(group: list[tuple]):
-        doc, part, size, component = (np.array([g[k] for g in group]) for k in (0, 1, 2, 4))
-        a, b = RTree(size, np.stack([counts_of(g[3]) for g in group])).pairs()
-        keep = (doc[a] < doc[b]) & (component[a] != component[b])
-        if (part != part[0]).any():
-            keep &= part[a] != part[b]
-        return zip(doc[a[keep]].tolist(), doc[b[keep]].tolist())
-
-    def found(batches):
-        at, group = None, []
-        out: set = set()
-        for batch in batches:
-            for key, run, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, run) != at:
-                    out.update(pairs_of(group) if len(group) > 1 else ())
-                    at, group = (key, run), []
-                group.append(tuple(rest))
-            if len(out) > 100_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-                out = set()
-        out.update(pairs_of(group) if len(group) > 1 else ())
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
+def grouped(batches, answers):
+    """Runs of rows (key, run, ...) to pairs (a, b) of ids, by way of answers(group), which gives arrays of pairs."""
+    at, group = None, []
+    a_out, b_out, size = [], [], 0
+
+    def flush():
+        return pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in (a_out, b_out)], names=["a", "b"])
+
+    def closed():
+        nonlocal a_out, b_out, size
+        for a, b in answers(group) if len(group) > 1 else ():
+            if len(a):
+                a_out.append(a)
+                b_out.append(b)
+                size += len(a)
+            if size > 100_000:
+                yield flush()
+                a_out, b_out, size = [], [], 0
+
+    for batch in batches:
+        for key, run, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, run) != at:
+                yield from closed()
+                at, group = (key, run), []
+            group.append(tuple(rest))
+    yield from closed()
+    if size:
+        yield flush()
+
+
+def tree_of(group: list[tuple], size: int, raw: int) -> RTree:
+    return RTree(np.array([g[size] for g in group]), np.stack([counts_of(g[raw]) for g in group]))
+
+
+def first_answers(group: list[tuple]):
+    """Pairs (first, id) of a key's first member with what the R-tree of the others answers. group: doc_id, n, point, centre."""
+    own, rest = [g for g in group if g[3]], [g for g in group if not g[3]]
+    if not rest:
+        return
+    tree, ids = tree_of(rest, 1, 2), np.array([g[0] for g in rest], np.int64)
+    for doc, n, raw, _ in own:
+        hit = ids[tree.search(n, counts_of(raw))]
+        hit = hit[hit != doc]
+        yield np.full(len(hit), doc, np.int64), hit
+
+
+def component_answers(group: list[tuple]):
+    """Pairs (smaller id, larger id) of members of different components, as the group's R-tree answers to all members but
+    those of its largest component, one member at a time. group: doc_id, part, n, point, component."""
+    ids, part, component = (np.array([g[k] for g in group], np.int64) for k in (0, 1, 4))
+    tree = tree_of(group, 2, 3)
+    names, counts = np.unique(component, return_counts=True)
+    largest = names[np.argmax(counts)]
+    across = bool((part != part[0]).any())
+    for k in np.flatnonzero(component != largest):
+        hit = tree.search(int(tree.sizes[k]), tree.points[k])
+        # a pair of members that both ask is kept where the smaller id does
+        hit = hit[(component[hit] != component[k]) & ((component[hit] == largest) | (ids[hit] > ids[k]))]
+        hit = hit[part[hit] != part[k]] if across else hit
+        other = ids[hit]
+        yield np.minimum(other, ids[k]), np.maximum(other, ids[k])
+
+
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of keys' first members with what R-trees answer. rows: key, run, doc_id, n, point, centre."""
     dealt = rows.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "doc_id")
-    return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(lean(found), "a long, b long").distinct()
-
-
-def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs of ids whose sizes and summed coordinate minima allow a link."""
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    return dealt.select("key", "run", "doc_id", "n", "point", "centre").mapInArrow(lean(lambda batches: grouped(batches, first_answers)), "a long, b long").distinct()
 
-    def allowed(batches):
-        for t in batches:
-            na, nb = np.array(t.column("na")), np.array(t.column("nb"))
-            low = np.array([np.minimum(counts_of(x), counts_of(y)).sum() for x, y in zip(t.column("pa").to_pylist(), t.column("pb").to_pylist())], np.int64)
-            yield t.select(["a", "b"]).filter(pa.array(9 * low >= 4 * (na + nb), pa.bool_()))
 
-    p = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return p.mapInArrow(lean(allowed), "a long, b long").distinct()
+def tree_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs within a key, of different components, that R-trees answer. rows: key, run, part, doc_id, n, point,
+    component; of a group in two parts, only pairs across them."""
+    dealt = rows.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "doc_id")
+    return dealt.select("key", "run", "doc_id", "part", "n", "point", "component").mapInArrow(lean(lambda batches: grouped(batches, component_answers)), "a long, b long").distinct()
 
 
 def shared_keys(postings: DataFrame, fill: np.ndarray) -> DataFrame:
@@ -299,16 +323,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = scratch.put("gone", copied.filter("doc_id <> first").select("doc_id", "mark").distinct())
     many = gone.count()
     one = usable.join(F.broadcast(gone) if many <= BROADCAST_IDS // 4 else gone, ["doc_id", "mark"], "left_anti")
-    shared = scratch.put("shared", shared_keys(one.select("doc_id", F.explode("keys").alias("key")), filled))
+    every = scratch.put("every", shared_keys(one.select("doc_id", F.explode("keys").alias("key")), filled))
+    # Keys with the same members (by their number, first, last and two checksums) have the same tree: the least goes on.
+    sums = every.groupBy("key", "first").agg(F.count("*").alias("m"), F.max("doc_id").alias("last"), F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.expr("bit_xor(xxhash64(doc_id, 7))").alias("y"))
+    kept = scratch.put("kept", sums.groupBy("m", "first", "last", "x", "y").agg(F.min("key").alias("key")).select("key", "first", "m"))
+    shared = scratch.put("shared", every.join(kept.select("key"), "key", "left_semi"))
+    scratch.drop("every")
     sizes = usable.select("doc_id", "n", "point")
-    stars = scratch.put("stars", shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
-    near = scratch.put("near", bounded(stars, sizes))
-    links = checked(scratch, "links", near, docs, id_col, text_col)
-    scratch.drop("near")
+    split = kept.withColumn("runs", F.ceil(F.col("m") / PART).cast("int"))
+    members = shared.filter("doc_id <> first").join(split.filter("runs > 1").select("key", "runs"), "key", "left")
+    members = members.select("key", F.pmod(F.xxhash64("doc_id"), F.coalesce("runs", F.lit(1))).cast("int").alias("run"), "doc_id", F.lit(False).alias("centre"))
+    centres = split.select("key", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("first").alias("doc_id"), F.lit(True).alias("centre"))
+    asked = scratch.put("asked", first_pairs(members.unionByName(centres).join(sizes, "doc_id")))
+    links = checked(scratch, "links", asked, docs, id_col, text_col)
     labels = scratch.put("labels", connected_components(links))
     placed = shared.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = scratch.put("placed", placed)
-    scratch.drop("shared")
+    scratch.drop("shared", "kept")
     # The one pair of a key of two has been checked already.
     live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high and m > 2")
     live = live.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
@@ -316,8 +347,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A group in several parts is dealt out as every pair of parts; run = low part * parts + high part.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).withColumn("run", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    near = scratch.put("near", tree_pairs(rows).join(stars, ["a", "b"], "left_anti"))
-    scratch.drop("placed", "stars")
+    near = scratch.put("near", tree_pairs(rows).join(asked, ["a", "b"], "left_anti"))
+    scratch.drop("placed", "asked")
     more = checked(scratch, "more", near, docs, id_col, text_col)
     # An id with several texts links what they are linked with.
     several = usable.groupBy("doc_id").agg(F.min("mark").alias("l"), F.max("mark").alias("h")).filter("l <> h").select("doc_id")

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,39 @@ def test_rtree_loses_nothing():
         assert set(np.flatnonzero(near)) <= set(tree.search(int(sizes[k]), points[k]).tolist())
 
 
+def test_inner_nodes_prune():
+    """Of a key's members most are unlike a set: their nodes are left out above the leaves."""
+    r = random.Random(6)
+    sets = [np.unique(np.array([r.getrandbits(63) for _ in range(90)], np.uint64)) for _ in range(1000)]
+    near = np.unique(np.concatenate([sets[500][:-4], np.array([5, 6, 7, 8], np.uint64)]))
+    tree = ngram_join.RTree(np.array([len(h) for h in sets]), np.stack([ngram_join.counts_of(ngram_join.point(h)) for h in sets]))
+    assert tree.levels and tree.search(len(near), ngram_join.counts_of(ngram_join.point(near))).tolist() == [500]
+    assert tree.visited < 700  # of 1,000 members and 333 nodes
+
+
+def test_near_copies_and_an_outsider_make_few_pairs():
+    """5,000 members of one component and one of another: as many answers as the outsider gets, and none between the others."""
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << 62, 80).astype(np.uint64))
+    raw = ngram_join.point(h)
+    group = [(k, 0, len(h), raw, 0) for k in range(5000)] + [(9000, 0, len(h), raw, 9000)]
+    pairs = list(ngram_join.component_answers(group))
+    assert len(pairs) == 1 and len(pairs[0][0]) == 5000 and set(pairs[0][1].tolist()) == {9000}
+    batch = pa.record_batch([pa.array([1] * 5001), pa.array([0] * 5001), *[pa.array(c) for c in zip(*group)]], names=["key", "run", "doc_id", "part", "n", "point", "component"])
+    assert sum(b.num_rows for b in ngram_join.grouped([batch], ngram_join.component_answers)) == 5000
+
+
+def test_links_of_the_join_come_from_trees(spark, monkeypatch):
+    """Without what the trees answer, nothing links; with it, all does."""
+    texts = [prose(50) for _ in range(5)]
+    texts += [t + " end" for t in texts] + [texts[0] + " the end"]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert got == {k: k % 5 for k in range(10)} | {10: 0}
+    empty = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(ngram_join, "first_pairs", lambda rows: empty)
+    monkeypatch.setattr(ngram_join, "tree_pairs", lambda rows: empty)
+    assert all(r.component_id == r.doc_id for r in ngram_join.ngram_join(frame(spark, texts)).collect())
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 60) if k % 7] + [(100, k) for k in range(200, 260)] + [(5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
