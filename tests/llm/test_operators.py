@@ -487,6 +487,37 @@ def test_best_fit_decreasing():
 # 8
 
 
+def test_decontamination_memory_of_many_items():
+    """20,000 items of 30 words with 60,000 features: what a task holds beside the latent space stays within 300 MB."""
+    import tracemalloc
+
+    r = random.Random(1)
+    tracemalloc.start()
+    lexicon = decontaminate.Lexicon([(i, " ".join(f"w{r.randrange(60_000)}" for _ in range(30))) for i in range(decontaminate.QUERIES)], {}, 1000)
+    space = np.full((len(lexicon.feature), 16), 0.01, np.float32)
+    searcher = decontaminate.Searcher(lexicon, space, 0.3, 0.8, 0.6)
+    text = [f"w{r.randrange(60_000)}" for _ in range(4000)]
+    assert searcher.candidates([text], True) and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_decontamination_in_parts_of_items_and_passages(monkeypatch):
+    """However items and passages are divided, the same candidates."""
+    r = random.Random(2)
+    items = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(20))) for i in range(150)]
+    docs = [[f"w{r.randrange(900)}" for _ in range(300)] + items[k][1].split()[2:] + ["w1"] * 40 for k in range(6)]
+    lexicon = decontaminate.Lexicon(items, {}, 1000)
+    searcher = decontaminate.Searcher(lexicon, np.random.default_rng(0).normal(size=(len(lexicon.feature), 8)).astype(np.float32), 0.3, 0.8, 0.6)
+
+    def told():
+        return [[{i: (round(c, 4), sorted(w)) for i, (c, w) in d.items()} for d in searcher.candidates(docs, likely)] for likely in (False, True)]
+
+    whole = told()
+    monkeypatch.setattr(decontaminate, "ITEMS", 40)
+    monkeypatch.setattr(decontaminate, "PASSAGES", 7)
+    assert told() == whole and all(k in d for k, d in enumerate(whole[1]))
+
+
 def test_warc_round_trip(spark, tmp_path):
     fake = "x" * 1200 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * 50
     html = [None, "", "<p>a</p>", "b" * 2000, "b" * 2000, "b" * 2000, fake, "ü\r\n\r\n" * 400, "b" * 999, "b" * 999]
