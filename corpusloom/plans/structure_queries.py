@@ -6,8 +6,9 @@ from corpusloom.functions.text import NULL_MARKERS
 from corpusloom.operators import authors as A
 from corpusloom.operators import grounding as G
 from corpusloom.operators import structured as T
-from corpusloom.plans.inputs import chunks, entities, over, table
+from corpusloom.plans.inputs import chunks, entities, over, sql, table
 from corpusloom.plans.registry import query
+from corpusloom.sources import mard as M
 from corpusloom.sources import tables as TB
 from corpusloom.storage import shared_folder
 
@@ -106,3 +107,17 @@ def _(spark, d):
 @query("catalogue_rows", "SELECT row_number() OVER (ORDER BY item_id) AS __row_number, item_id, price FROM items")
 def _(spark, d):
     return catalogue(spark, d).read("csv_data_items").select("__row_number", "item_id", "price")
+
+
+TOPS = """SELECT c_mktsegment AS event_tree, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderpriority) AS INT) AS place, o_orderpriority AS top, avg(CASE WHEN o_orderstatus = 'F' THEN CAST(1.0 AS DOUBLE) ELSE 0 END) AS p
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment, o_orderpriority"""
+
+
+@query("event_tree_frequencies", f"""WITH t AS ({TOPS}), n AS (SELECT event_tree, max(place) AS n FROM t GROUP BY 1), s AS (SELECT event_tree, n, unnest(range(0, (1 << n)::BIGINT)) AS path FROM n), i AS (SELECT c_mktsegment AS event_tree, count(*) AS f FROM customer GROUP BY 1)
+  SELECT event_tree, path + 1 AS sequence, count(*) FILTER (WHERE (path >> (n - place)) & 1 = 1) AS failures, round(any_value(f) * product(CASE WHEN (path >> (n - place)) & 1 = 1 THEN p ELSE 1 - p END), 6) AS frequency FROM s JOIN t USING (event_tree) JOIN i USING (event_tree) GROUP BY event_tree, path""")
+def _(spark, d):
+    """A segment's order priorities as the tops of an event tree, an order of status F being a failure."""
+    tops = sql(spark, d, TOPS)
+    initiators = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("event_tree")).agg(F.count("*").alias("frequency"))
+    found = M.frequencies(M.expanded(tops.select("event_tree", "place", "top")), tops.select("event_tree", "top", "p"), initiators)
+    return found.withColumn("frequency", F.round("frequency", 6))
