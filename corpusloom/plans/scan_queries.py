@@ -268,8 +268,3 @@ def _(spark, d):
     p = K.event_values(sql(spark, d, EVENTS))
     v = rows.join(p, F.regexp_replace("literal", "^/", "") == F.col("event"), "left").withColumn("v", F.when(F.col("literal").startswith("/"), 1 - F.col("p")).otherwise(F.col("p")))
     return v.groupBy("context", "rank").agg(F.round(K.product("v"), 12).alias("probability"))
-
-
-@query("marked_passages")
-def _(spark, d):
-    return S.marked_passages(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
