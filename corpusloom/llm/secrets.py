@@ -2,14 +2,18 @@
 
 The field tags words as O (outside), B (secret begins) or I (inside). A word's features are its own shape, the shapes
 of its neighbours and features of the whole file. It is trained on a bounded sample of documents whose tags come from
-the fixed patterns, so it carries their context over to secrets that no pattern spells out. Viterbi runs on windows
-about the words of a conspicuous shape only: farther away than the model's margin allows, O is certain.
+the fixed patterns, and on copies of what they tag with the cue spoilt: the sign between name and value lost or a plain
+word, or, where the value's own shape tells, name and sign lost. Copies with a plain or short value are no secrets, and
+untagged words of a telling shape teach nothing. So the field finds what no pattern spells out. Viterbi runs on windows
+about the words of a conspicuous shape only: farther away than the model's margin allows, O is certain; where there is
+no such margin it runs on whole texts.
 
 Defined cases: a null or empty text has no spans; offsets are code points; equal rows give equal results; extra columns
 are ignored; an empty table, or one with no example, gives a field that adds nothing."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -33,6 +37,8 @@ EDGE = "\"'`.,;:()[]{}<>!?*#$%&|"
 PLAIN, NAME, SIGN, JOINED, HEX24, HEX8, UPPER16, UPPER, DIGITS4, DIGITS12, DIGITS, MIXED16, MIXED, BASE64, MAIL, LINK, NUMERIC, OUT = range(18)
 #: Features of the whole file: signs of code, many digits, none of these.
 FILES = 3
+#: Shapes that tell a secret without a cue.
+TELLING = (HEX24, UPPER16, MIXED16, BASE64)
 O, B, I = range(3)
 NEVER = -1e9
 
@@ -120,7 +126,7 @@ class Tagger:
         usable = self.moves[self.moves > NEVER / 2]
         inside = max(self.moves[I, I], self.moves[B, I]) - self.moves[O, O]
         step = margin - max(0.0, inside)
-        self.radius = 2 + (min(20, int(np.ceil((usable.max() - usable.min()) * 2 / step)) + 1) if step > 0 else 20)
+        self.radius = 3 + int(np.ceil((usable.max() - usable.min()) * 2 / step)) if step > 0 else None
 
     def scores(self, c: np.ndarray, f: np.ndarray) -> np.ndarray:
         """[window, word, tag] for classes with two words of context at the left and one at the right."""
@@ -144,11 +150,13 @@ class Tagger:
         return tags
 
 
-def windows(classes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Ranges of words about those of a conspicuous shape, joined where they touch."""
+def windows(classes: np.ndarray, radius: int | None) -> list[tuple[int, int]]:
+    """Ranges of words about those of a conspicuous shape, joined where they touch; without a radius the whole text."""
     at = np.flatnonzero(classes)
     if not len(at):
         return []
+    if radius is None:
+        return [(0, len(classes))]
     cut = np.flatnonzero(np.diff(at) > 2 * radius + 1) + 1
     return [(max(0, g[0] - radius), min(len(classes), g[-1] + radius + 1)) for g in np.split(at, cut)]
 
@@ -210,10 +218,42 @@ def scan(text: str, ranges: list[tuple[int, int]], base: list[tuple[int, int, in
     return sorted(base + more)
 
 
+def spoilt(c: list[int], f: int, y: list[int]) -> list[tuple[list[int], int, list[int]]]:
+    """Copies of a window with its tagged runs changed: values of other shapes, cues lost, values that are none.
+
+    c has two words of context at the left and one at the right of those that y tags. A run of a name, a sign and a value
+    is copied with the sign a plain word and with no sign, for values of all shapes that the patterns take; the same with
+    a plain word or a short number is no secret. A value of a telling shape stands alone as well."""
+    out = []
+
+    def add(a: int, b: int, words: list[int], tags: list[int]):
+        out.append((c[: a + 2] + words + c[b + 2 :], f, y[:a] + tags + y[b:]))
+
+    for a in [k for k, tag in enumerate(y) if tag == B]:
+        b = a + 1
+        while b < len(y) and y[b] == I:
+            b += 1
+        name, value = c[a + 2], c[b + 1]
+        if b - a > 1 and name == NAME and value not in (PLAIN, NAME, SIGN, JOINED):
+            for shape_ in dict.fromkeys((value, MIXED, *TELLING, HEX8, UPPER)):
+                add(a, b, [NAME, SIGN, shape_], [B, I, I])
+                add(a, b, [NAME, PLAIN, shape_], [B, I, I])
+                add(a, b, [NAME, shape_], [B, I])
+            for dull in (PLAIN, DIGITS4):
+                add(a, b, [NAME, PLAIN, dull], [O, O, O])
+                add(a, b, [NAME, dull], [O, O])
+        if value in TELLING:
+            for shape_ in TELLING:
+                add(a, b, [shape_], [B])
+                add(a, b, [PLAIN, shape_], [O, B])
+    return out
+
+
 def fit_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, most_windows: int = 20_000, rounds: int = 150) -> Tagger:
     """Train on the `sample` documents that come first by a hash of their id (a bound, the same at every size).
 
-    Their windows, cut on the executors to classes and tags, are what the driver gets: at most most_windows of 24 words."""
+    Their windows, made on the executors to classes and tags of 24 words at most, are counted by Spark; the driver gets
+    the different ones, at most most_windows by a hash of theirs."""
     ids = docs.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     schema = pa.schema([("c", pa.list_(pa.int8())), ("f", pa.int8()), ("y", pa.list_(pa.int8()))])
 
@@ -224,33 +264,45 @@ def fit_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 _, classes, hexed = word_classes(text or "")
                 at = [m.span() for m in WORDS.finditer(text or "")]
                 tags = np.zeros(len(at), np.int8)
+                covered = 0
                 for start, _, end in base_spans(text or "", hexed):
-                    hit = [k for k, (a, z) in enumerate(at) if a < end and start < z]
-                    tags[hit[:1]], tags[hit[1:]] = B, I
+                    first = max(0, bisect.bisect_right(at, (start, len(text))) - 1)
+                    last = bisect.bisect_left(at, (end, 0))
+                    tags[max(first, covered) : last] = I  # spans that overlap are one run
+                    if first >= covered and first < last:
+                        tags[first] = B
+                    covered = max(covered, last)
                 p = padded(classes)
-                for a, z in [*windows(classes, 6), *([(0, min(8, len(at)))] if len(at) else [])]:
-                    z = min(z, a + 24)
-                    out.append((p[a : z + 3].astype(np.int8), file_class(text), tags[a:z]))
+                wide = [*windows(classes, 6), *([(0, min(8, len(at)))] if len(at) else [])]
+                for a, z in ((k, min(z, k + 24)) for a, z in wide for k in range(a, z, 24)):
+                    if any(classes[k] in TELLING and tags[k] == O for k in range(a, z)):
+                        continue  # a word that could be one, of which nothing is known
+                    row = (p[a : z + 3].tolist(), file_class(text), tags[a:z].tolist())
+                    out += [row, *spoilt(*row)]
             yield pa.record_batch([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     rows = (
         docs.join(F.broadcast(ids), id_col, "left_semi").select(text_col).mapInArrow(examples, "c array<tinyint>, f tinyint, y array<tinyint>")
-        .limit(most_windows).collect()
+        .groupBy("c", "f", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("c", "f", "y"), "c", "f", "y").limit(most_windows).collect()
     )
-    return train([(list(r.c), r.f, list(r.y)) for r in rows], rounds)
+    return train([(list(r.c), r.f, list(r.y), r.n) for r in rows], rounds)
+
 
+def train(rows: list[tuple], rounds: int = 150, ridge: float = 1e-3) -> Tagger:
+    """Maximum conditional likelihood by Adam; gradients from forward-backward over all windows at once.
 
-def train(rows: list[tuple[list[int], int, list[int]]], rounds: int = 150, ridge: float = 1e-3) -> Tagger:
-    """Maximum conditional likelihood by Adam; gradients from forward-backward over all windows at once."""
-    if not any(any(y) for _, _, y in rows):
+    rows: classes, file class, tags, and how often the window occurs (once, if that is left out)."""
+    if not any(any(r[2]) for r in rows):
         own = np.zeros((18, 3))
         own[:, 1:] = -9
         return Tagger(own, *(np.zeros((18, 3)) for _ in range(3)), np.zeros((FILES, 3)), np.zeros((3, 3)))
     rows = sorted(rows, key=repr)
-    n, t = len(rows), max(len(y) for _, _, y in rows)
+    n, t = len(rows), max(len(r[2]) for r in rows)
     c, y, size = np.full((n, t + 3), OUT), np.zeros((n, t), int), np.array([len(r[2]) for r in rows])
-    for k, (a, _, b) in enumerate(rows):
-        c[k, : len(a)], y[k, : len(b)] = a, b
+    for k, r in enumerate(rows):
+        c[k, : len(r[0])], y[k, : len(r[2])] = r[0], r[2]
+    often = np.array([r[3] if len(r) > 3 else 1 for r in rows], float)
+    whole = often.sum()
     f = np.array([r[1] for r in rows])
     live = np.arange(t)[None, :] < size[:, None]
     views = [c[:, 2:-1], c[:, 1:-2], c[:, 3:], c[:, :-3]]
@@ -270,7 +322,7 @@ def train(rows: list[tuple[list[int], int, list[int]]], rounds: int = 150, ridge
             beta[:, k] = np.logaddexp.reduce(moves[None] + (s[:, k + 1] + beta[:, k + 1])[:, None], axis=2)
         z = np.logaddexp.reduce(alpha[:, 0] + beta[:, 0], axis=1)
         p = np.exp(alpha + beta - z[:, None, None])
-        delta = (np.eye(3)[y] - p) * live[:, :, None]
+        delta = (np.eye(3)[y] - p) * live[:, :, None] * often[:, None, None]
         grads = []
         for k in range(4):
             g = np.zeros((18, 3))
@@ -283,11 +335,11 @@ def train(rows: list[tuple[list[int], int, list[int]]], rounds: int = 150, ridge
         for k in range(1, t):
             on = live[:, k]
             pair = np.exp(alpha[on, k - 1, :, None] + moves[None] + (s[on, k] + beta[on, k])[:, None] - z[on, None, None])
-            g -= pair.sum(0)
-            np.add.at(g, (y[on, k - 1], y[on, k]), 1)
+            g -= (pair * often[on, None, None]).sum(0)
+            np.add.at(g, (y[on, k - 1], y[on, k]), often[on])
         grads.append(g)
         for k in range(6):
-            d = grads[k] / n - ridge * w[k]
+            d = grads[k] / whole - ridge * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
             w[k] = w[k] + 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return Tagger(*w)
