@@ -6,6 +6,7 @@ from corpusloom.functions.text import NULL_MARKERS
 from corpusloom.operators import authors as A
 from corpusloom.operators import grounding as G
 from corpusloom.operators import structured as T
+from corpusloom.operators import versions as V
 from corpusloom.plans.inputs import chunks, entities, over, sql, table
 from corpusloom.plans.registry import query
 from corpusloom.sources import mard as M
@@ -121,3 +122,26 @@ def _(spark, d):
     initiators = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("event_tree")).agg(F.count("*").alias("frequency"))
     found = M.frequencies(M.expanded(tops.select("event_tree", "place", "top")), tops.select("event_tree", "top", "p"), initiators)
     return found.withColumn("frequency", F.round("frequency", 6))
+
+
+#: Documents in families of eight by number, their names with a version, a year, a revision, a copy mark, bare, or of their own.
+NAMED = """SELECT doc_id AS document_id, CASE doc_id % 8 WHEN 0 THEN concat('Policy ', CAST(floor(doc_id / 8) AS INT), ' v', doc_id % 7, '.', n_chars % 13, '.pdf') WHEN 1 THEN concat('policy_', CAST(floor(doc_id / 8) AS INT), '_', 2015 + n_chars % 9, '.docx')
+  WHEN 2 THEN concat('Policy-', CAST(floor(doc_id / 8) AS INT), ' rev ', 1 + n_chars % 5, '.pdf') WHEN 3 THEN concat('Policy ', CAST(floor(doc_id / 8) AS INT), ' (1).pdf') WHEN 4 THEN concat('Policy ', CAST(floor(doc_id / 8) AS INT), '.pdf') ELSE concat('note ', doc_id, 'x.pdf') END AS filename,
+  concat('2024-', 100 + n_chars % 89) AS uploaded_at, CASE WHEN doc_id % 16 = 0 THEN doc_id + 1 END AS superseded_by, text, n_chars FROM documents"""
+
+
+@query("suggested_replacements", f"""WITH d AS (SELECT *, document_id // 8 AS fam, document_id % 8 AS k FROM ({NAMED})),
+  v AS (SELECT *, CASE WHEN k = 1 THEN 2015 + n_chars % 9 ELSE 0 END AS y, CASE WHEN k = 0 THEN document_id % 7 ELSE -1 END AS v1, CASE WHEN k = 0 THEN n_chars % 13 ELSE -1 END AS v2, CASE WHEN k = 2 THEN 1 + n_chars % 5 ELSE 0 END AS r FROM d WHERE k IN (0, 1, 2, 4)),
+  t AS (SELECT fam, max((y, v1, v2, r, uploaded_at, document_id)) AS t, max((uploaded_at, document_id, superseded_by IS NOT NULL)) AS g FROM v GROUP BY 1),
+  a AS (SELECT document_id, t[6] AS replaced_by, 1 AS o FROM v JOIN t USING (fam) WHERE superseded_by IS NULL AND (y, v1, v2, r) <> (t[1], t[2], t[3], t[4])
+    UNION ALL SELECT CASE WHEN uploaded_at >= g[1] THEN g[2] ELSE document_id END, CASE WHEN uploaded_at >= g[1] THEN document_id ELSE g[2] END, 2 FROM d JOIN t USING (fam) WHERE k = 3 AND CASE WHEN uploaded_at >= g[1] THEN NOT g[3] ELSE superseded_by IS NULL END)
+  SELECT document_id, replaced_by, CASE min(o) WHEN 1 THEN 'version_in_name' ELSE 'copy_of' END AS reason, CASE min(o) WHEN 1 THEN 'high' ELSE 'medium' END AS confidence FROM a WHERE document_id <> replaced_by GROUP BY ALL""")
+def _(spark, d):
+    return V.suggested_replacements(sql(spark, d, NAMED))
+
+
+@query("same_opening_texts")
+def _(spark, d):
+    """Replacements by opening text too, copies of documents being what the table has of them."""
+    rows = sql(spark, d, NAMED)
+    return V.suggested_replacements(rows, rows.select("document_id", F.substring("text", 1, 400).alias("text"))).filter("reason = 'same_text'")
