@@ -88,7 +88,7 @@ def minimise(sets: list[frozenset[str]]) -> list[frozenset[str]]:
 
 
 def cut_sets_of(gates: dict[str, tuple[str, int, list[str]]], p: dict[str, float], top: str, cutoff: float = 1e-15, max_order: int = 12, most: int = 100_000) -> list[frozenset[str]]:
-    """Minimal cut sets of one tree, top down, with gates worked on from a stack.
+    """Minimal cut sets of one tree, top down, with gates worked on from a stack; over `most` of them is an error.
 
     gates: name -> (and | or | atleast, k, inputs); an input may start with / for a complement."""
     from itertools import combinations
@@ -121,6 +121,8 @@ def cut_sets_of(gates: dict[str, tuple[str, int, list[str]]], p: dict[str, float
             kind, k = {"and": ("or", 1), "or": ("and", 0)}.get(kind, ("atleast", len(inputs) - k + 1))
         options = [tuple(inputs)] if kind == "and" else [(i,) for i in inputs] if kind == "or" else list(combinations(inputs, k))
         stack += [(plain, tuple(dict.fromkeys(rest + o))) for o in options]
+    if stack:
+        raise ValueError(f"{top} has over {most} cut sets; raise the cutoff or the limit")
     return minimise(done)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.storage import cut
+
 # The 61 words that are not indexed, and BM25's constants.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
@@ -54,8 +56,8 @@ def equal_to(word: str):
 def bm25(chunks: DataFrame, terms: Sequence[str], k: int = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(id, score) of the k best chunks under BM25, any term being enough; a repeated query term counts again.
 
-    One pass tokenises each chunk into its length and the few counts that the query asks for; statistics cover all
-    chunks, whatever the allow-list. The only shuffles are of one row a task (statistics) and k rows a task (ranking)."""
+    One pass tokenises each chunk into its length and the few counts that the query asks for, which are written to the
+    shared folder for statistics and ranking; statistics cover all chunks, whatever the allow-list. The only shuffles are of one row a task (statistics) and k rows a task (ranking)."""
     if not terms:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     distinct = sorted(set(terms))
@@ -63,7 +65,7 @@ def bm25(chunks: DataFrame, terms: Sequence[str], k: int = 10, allowed: DataFram
     base = chunks.select(F.col(id_col).alias("id"), toks.alias("toks")).select(
         "id", F.size("toks").cast("long").alias("dl"), *[F.size(F.filter("toks", equal_to(w))).alias(f"tf{j}") for j, w in enumerate(distinct)]
     )
-    base = base.filter("dl > 0")
+    base = cut(base.filter("dl > 0"))  # texts are read once; what is written is a few numbers a chunk
     s = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(distinct))]).first()
     import math
 

@@ -114,3 +114,12 @@ def test_paths_and_frequencies_equal_enumeration(spark):
     assert got == want
     with pytest.raises(ValueError):
         M.expanded(tops.drop("p"), most=2)
+
+
+def test_too_many_cut_sets_are_an_error():
+    from corpusloom.operators.risk import cut_sets_of
+
+    gates = {"T": ("and", 0, [f"g{k}" for k in range(6)])} | {f"g{k}": ("or", 0, [f"e{k}{j}" for j in range(4)]) for k in range(6)}
+    assert len(cut_sets_of(gates, {}, "T")) == 4**6
+    with pytest.raises(ValueError):
+        cut_sets_of(gates, {}, "T", most=1000)
