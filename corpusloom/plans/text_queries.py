@@ -96,6 +96,13 @@ def _(spark, d):
     return sql(spark, d, MESS).select("event_id", T.parse_date(F.col("day")).alias("day"))
 
 
+@query("stamp_dates", """WITH s AS (SELECT stamp_id, trim(raw) AS v FROM stamps), p AS (SELECT stamp_id, coalesce(try_strptime(v, '%Y-%m-%d %H:%M:%S'), try_strptime(v, '%Y-%m-%dT%H:%M:%S'), try_strptime(v, '%m/%d/%Y %H:%M'), try_strptime(v, '%d.%m.%Y %H:%M:%S'), try_strptime(v, '%d %b %Y %H:%M'),
+    CASE WHEN regexp_full_match(v, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:?\\d\\d)') THEN try_strptime(left(v, 19), '%Y-%m-%dT%H:%M:%S') - CASE WHEN v LIKE '%Z' THEN INTERVAL 0 MINUTE ELSE (CASE WHEN substr(v, 20, 1) = '-' THEN -1 ELSE 1 END) * (try_cast(substr(v, 21, 2) AS INT) * 60 + try_cast(right(v, 2) AS INT)) * INTERVAL 1 MINUTE END END) AS t,
+  CASE WHEN regexp_matches(v, '[0-9]{4}') THEN coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%m/%d/%Y'), try_strptime(v, '%d %b %Y'), try_strptime(v, '%Y/%m/%d')) END AS d FROM s) SELECT stamp_id, coalesce(strftime(t, '%Y-%m-%dT%H:%M:%S'), strftime(d, '%Y-%m-%d')) AS day FROM p""")
+def _(spark, d):
+    return table(spark, d, "stamps").select("stamp_id", T.parse_date(F.col("raw")).alias("day"))
+
+
 @query("null_markers", f"SELECT count(*) FILTER (WHERE event_id % 6 = 3) AS nums, count(*) FILTER (WHERE event_id % 4 = 3) AS days FROM events")
 def _(spark, d):
     return sql(spark, d, MESS).agg(F.count_if(T.is_null_marker(F.col("num"))).alias("nums"), F.count_if(T.is_null_marker(F.col("day"))).alias("days"))
