@@ -8,8 +8,9 @@ bitmaps of both sets bound their overlap; pairs that survive are verified on the
 any earlier one (by document id, then line number) is removed.
 
 Equal sets are folded first. Then each set is compared with the first that shares its smallest or largest prefix hash, which
-settles nearly all members of a group of near copies with one comparison each; only unsettled lines are joined with all
-earlier ones, so the work does not grow with the square of a group.
+settles most members of a group of near copies with one comparison each, and unsettled ones with the sets that settled
+many (centres), of any prefix hash in common; only what is unsettled then is joined with all earlier ones, so the work
+does not grow with the square of a group.
 
 Defined cases: a null or empty text has no lines to lose; lines without a word stay; a row without an id is kept as it
 is and takes no part; rows of one id are one document, whose lines of one number stand or fall together; ties go to the
@@ -30,6 +31,8 @@ from corpusloom.llm.common import Scratch, let, table
 BUCKETS = 1 << 16
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 4_000_000
+#: A set that has settled so many others is compared with all open ones that share a prefix word with it.
+CENTRE = 8
 #: Parts (a power of two) in which the postings are joined, one after another, so that only one part's shuffle is on disk.
 PARTS = 2
 #: Masks of the bitmaps: each of 128 kinds of words has one bit in one of them, as signed longs.
@@ -109,14 +112,14 @@ def chosen_lines(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -
 
 
 def verified(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (b_doc, b_line, a_doc, a_line) the `mark` of each set b that is similar to its a on the whole sets."""
+    """(mark, a_doc, a_line) of the pairs (b_doc, b_line, a_doc, a_line) that are similar on the whole sets, mark being b's."""
     ends = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
     ends = scratch.put(f"{name}_ends", ends)
     sets = scratch.put(f"{name}_sets", token_sets(chosen_lines(docs, ends, id_col, text_col), ranks).select("doc_id", "line_no", "toks"))
     side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("toks").alias(f"{x}_toks"))
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
     good = 9 * F.size(F.array_intersect("a_toks", "b_toks")) >= 4 * (F.size("a_toks") + F.size("b_toks"))
-    found = scratch.put(name, both.filter(good).select(F.xxhash64("b_toks").alias("mark")).distinct())
+    found = scratch.put(name, both.filter(good).select(F.xxhash64("b_toks").alias("mark"), "a_doc", "a_line").distinct())
     scratch.drop(f"{name}_ends", f"{name}_sets")
     return found
 
@@ -134,6 +137,24 @@ def first_of_pivot(sets: DataFrame) -> DataFrame:
     return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
 
 
+def centre_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of an open set and an earlier one that has settled CENTRE others or more and shares a prefix word with it."""
+    centres = settled.groupBy("a_doc", "a_line").agg(F.count("*").alias("m")).filter(F.col("m") >= CENTRE)
+    row = ["doc_id", "line_no", "n", "bits", "more_bits"]
+    a = centres.join(sets, (F.col("a_doc") == F.col("doc_id")) & (F.col("a_line") == F.col("line_no"))).select(*row, F.explode("prefix").alias("word"))
+    b = sets.filter("settled IS NULL").select(*row, F.explode("prefix").alias("word"))
+    met = b.alias("b").join(a.alias("a"), (F.col("b.word") == F.col("a.word")) & later("b", "a") & bounded("a", "b"))
+    return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
+
+
+def flagged(sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """sets with `settled` true for those of some marks."""
+    known = marks.withColumn("settled", F.lit(True))
+    if marks.count() <= BROADCAST_LINES:
+        known = F.broadcast(known)
+    return sets.join(known, "mark", "left")
+
+
 def prefix_pairs(sets: DataFrame, part: int) -> DataFrame:
     """Pairs of an open set and an earlier one that the filters leave: (b_doc, b_line, a_doc, a_line), b the later.
 
@@ -181,24 +202,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits", "prefix")).alias("r")).select("mark", "r.*"))
     pairs = scratch.put("pivots", first_of_pivot(sets))
     settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
-    known = settled.withColumn("settled", F.lit(True))
-    if settled.count() <= BROADCAST_LINES:
-        known = F.broadcast(known)
-    sets = scratch.put("opened", sets.join(known, "mark", "left"))
+    marks = scratch.put("settled_marks", settled.select("mark").distinct())
+    first_open = scratch.put("first_open", flagged(sets, marks))
     scratch.drop("pivots", "sets")
+    pairs = scratch.put("centres", centre_pairs(first_open, settled))
+    by_centre = verified(scratch, "by_centre", pairs, docs, ranks, id_col, text_col)
+    marks = scratch.put("all_marks", marks.unionByName(by_centre.select("mark")).distinct())
+    sets = scratch.put("opened", flagged(first_open.drop("settled"), marks))
+    scratch.drop("centres", "first_open", "settled_marks")
     parts = []
     for part in range(PARTS):
         parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, part)))
         scratch.drop()
     more = verified(scratch, "more", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
     scratch.drop(*(f"pairs_{part}" for part in range(PARTS)))
+    more = more.select("mark").distinct()
     gone = more.withColumn("gone", F.lit(True))
     if more.count() <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     fate = sets.join(gone, "mark", "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("settled", "gone", F.lit(False)).alias("gone"))
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct())
-    scratch.drop("base", "opened", "settled", "more")
+    scratch.drop("base", "opened", "settled", "by_centre", "all_marks", "more")
     return found
 
 

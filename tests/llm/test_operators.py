@@ -670,3 +670,30 @@ def test_rows_without_an_id(spark):
     assert [r.component_id for r in ngram_join.ngram_join(rows).orderBy("doc_id").collect()] == [None, None, 4]
     assert {r.text for r in line_dedup.line_dedup(rows).collect()} == {BASE}
     assert bpe.encode_documents(rows).count() == 3
+
+
+@pytest.mark.parametrize("centre", [1, 8])
+def test_line_dedup_of_near_copies_compares_few(spark, monkeypatch, centre):
+    """300 lines that differ from one in some words: right, and without pairs that grow with the square of the group."""
+    r = random.Random(21)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        line = list(base)
+        for at in r.sample(range(40), r.randint(1, 4)):
+            line[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(line))
+    rows = list(enumerate(texts)) + [(1000 + k, prose(12)) for k in range(20)]
+    made, asked = line_dedup.prefix_pairs, []
+
+    def counted(sets, part):
+        out = made(sets, part)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "CENTRE", centre)
+    monkeypatch.setattr(line_dedup, "prefix_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.line_no) for x in line_dedup.removed_lines(docs).collect()}
+    assert got == set(brute_lines(rows)) and len(got) > 250
+    assert sum(asked) < 5 * len(rows), asked
