@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +30,22 @@ def plain_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), ENDING, ""), PARTED, " ")))
 
 
-def file_versions(documents: DataFrame) -> DataFrame:
+def file_versions(documents: DataFrame, numbered: Sequence[str] = ()) -> DataFrame:
     """documents with stem, year, version (numbers), rev, is_copy and cue (whether the name says any of these).
 
     Copy marks, then the first year, version and revision are taken out of the name, in this order; a letter counts as
-    its place. Stems of under three characters say nothing."""
+    its place. Stems of under three characters say nothing. `numbered` lists words of the collection's names after which a
+    document's own number stands: Policy 1999 is then the policy of that number, not one of that year."""
+    dated = "".join(rf"(?<!(?i:{re.escape(w)})[\s._\-])" for w in numbered) + YEAR
 
     def parts(n: Column) -> Column:
-        return let(F.regexp_replace(n, COPY, ""), lambda a: let(_without_first(a, YEAR), lambda b: let(_without_first(b, VERSION), lambda c: of(n, a, b, c))))
+        return let(F.regexp_replace(n, COPY, ""), lambda a: let(_without_first(a, dated), lambda b: let(_without_first(b, VERSION), lambda c: of(n, a, b, c))))
 
     def of(n: Column, a: Column, b: Column, c: Column) -> Column:
         numbers = F.transform(F.filter(F.split(F.regexp_extract(b, VERSION, 1), r"\."), lambda x: x != ""), lambda x: x.try_cast("long"))
         letter = F.lower(F.regexp_extract(c, REVISION, 1))
         rev = F.when(letter == "", F.lit(0).cast("long")).otherwise(F.coalesce(letter.try_cast("long"), (F.ascii(letter) - 96).cast("long")))
-        year = F.coalesce(F.regexp_extract(a, YEAR, 1).try_cast("int"), F.lit(0))
+        year = F.coalesce(F.regexp_extract(a, dated, 1).try_cast("int"), F.lit(0))
         stem = F.lower(F.trim(F.regexp_replace(_without_first(c, REVISION), PARTED, " ")))
         return F.struct(stem.alias("stem"), year.alias("year"), numbers.alias("version"), rev.alias("rev"), n.rlike(COPY).alias("is_copy"))
 
@@ -50,16 +55,17 @@ def file_versions(documents: DataFrame) -> DataFrame:
     return rows.withColumn("cue", cue)
 
 
-def suggested_replacements(documents: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def suggested_replacements(documents: DataFrame, texts: DataFrame | None = None, numbered: Sequence[str] = ()) -> DataFrame:
     """(document_id, replaced_by, reason, confidence): what is likely replaced by what; nothing is applied.
 
     documents: document_id, filename, uploaded_at, superseded_by; texts: document_id, text (the opening one). Names of one
     stem are versions of one document, a bare name the oldest: older ones are replaced by the highest (year, version,
     revision), `version_in_name`. A copy and the latest original pair by their time, `copy_of`. Documents of the same
     opening text are replaced by the latest of them, `same_text`. Documents that are marked as replaced already are left
-    alone, and of several reasons for a pair the first counts. Families are summed up by aggregates, never listed."""
+    alone, and of several reasons for a pair the first counts. Families are summed up by aggregates, never listed.
+    `numbered`: as in file_versions."""
     known = documents.select("document_id", "filename", F.coalesce("uploaded_at", F.lit("")).alias("stamp"), F.col("superseded_by").isNotNull().alias("done"))
-    parsed = cut(file_versions(known))  # names are read once
+    parsed = cut(file_versions(known, numbered))  # names are read once
     cued = parsed.filter("cue").select("document_id", "stem", F.struct("year", "version", "rev").alias("key"), "is_copy", "stamp", "done")
     bare = parsed.select("document_id", plain_name(F.col("filename")).alias("stem"), "stamp", "done").join(cued.select("stem").distinct(), "stem", "left_semi").join(cued.select("document_id", "stem"), ["document_id", "stem"], "left_anti")
     bare = bare.groupBy("stem").agg(F.min(F.struct("document_id", "stamp", "done")).alias("b")).select("b.document_id", "stem", F.struct(F.lit(0).alias("year"), F.array().cast("array<bigint>").alias("version"), F.lit(0).cast("bigint").alias("rev")).alias("key"), F.lit(False).alias("is_copy"), "b.stamp", "b.done")

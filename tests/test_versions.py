@@ -24,3 +24,15 @@ def test_suggestions(spark):
     texts = spark.createDataFrame([(9, text), (10, text.upper() + "!"), (11, "short"), (12, "short"), (1, text + " more")], "document_id bigint, text string")
     got = {(r.document_id, r.replaced_by): r.reason for r in V.suggested_replacements(documents, texts).collect()}
     assert got == {(1, 2): "version_in_name", (3, 2): "version_in_name", (2, 4): "copy_of", (6, 7): "version_in_name", (9, 10): "same_text", (13, 14): "copy_of"}
+
+
+def test_numbers_of_documents_are_no_years(spark):
+    """As the query's names have them from document 15,200 on: families 1899 to 2100 stay apart."""
+    rows, want = [], {}
+    for k, n in enumerate((1899, 1900, 1999, 2099, 2100)):
+        rows += [(4 * k, f"Policy {n}.pdf"), (4 * k + 1, f"policy_{n}_2016.docx"), (4 * k + 2, f"Policy-{n} rev 2.pdf"), (4 * k + 3, f"Policy {n} v3.4.pdf")]
+        rows.append((100 + k, f"note {n}x.pdf"))
+        want |= {4 * k: 4 * k + 1, 4 * k + 2: 4 * k + 1, 4 * k + 3: 4 * k + 1}
+    documents = spark.createDataFrame([(i, n, "2024-01", None) for i, n in rows], "document_id bigint, filename string, uploaded_at string, superseded_by bigint")
+    got = {r.document_id: (r.replaced_by, r.reason) for r in V.suggested_replacements(documents, numbered=("policy", "note")).collect()}
+    assert got == {k: (v, "version_in_name") for k, v in want.items()}
