@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import let
 from corpusloom.operators.listing import servable
 
+#: Words of a title that are looked up by a key.
+LEAD = 4
+
 
 def servable_chunk_refs(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks of servable documents, in a stable order."""
@@ -48,20 +51,28 @@ def chunks_by_entities(entities: DataFrame, wanted: list[str], min_shared: int =
 def match_references(references: DataFrame, library: DataFrame, min_title: int = 20) -> DataFrame:
     """Reference -> library paper: by DOI, else arXiv id, else the longest title that its raw text contains.
 
-    references(ref_id, doi, arxiv_id, raw), library(paper_id, doi, arxiv_id, title_key). Titles are looked up by their
-    first word run as an equi-join key before the containment test, so no all-pairs join is made."""
+    references(ref_id, doi, arxiv_id, raw), library(paper_id, doi, arxiv_id, title_key). Only references without a paper
+    yet are read for titles. Equal titles count once, under their first paper. A title is sought by the hash of its first
+    LEAD words at most, as an equi-join with the runs of words of a text; what meets is tested on the text, which is
+    shuffled once and not with each run."""
     by = lambda key, rank: references.join(library.select("paper_id", key), key).select("ref_id", "paper_id", F.lit(rank).alias("rank"), F.lit(0).alias("size"))
-    lead = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
-    starts = let(F.split("raw", " "), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(2)), " ")))
+    known = by("doi", 1).unionByName(by("arxiv_id", 2))
+    known = known.groupBy("ref_id").agg(F.min(F.struct("rank", F.col("size"), "paper_id")).alias("m"))
+    rest = references.select("ref_id", "raw").join(known.select("ref_id"), "ref_id", "left_anti")
+    words = F.split("title_key", " ")
+    n = F.least(F.size(words), F.lit(LEAD))
+    titled = library.filter(F.length("title_key") >= min_title).groupBy("title_key").agg(F.min("paper_id").alias("paper_id"))
+    titled = titled.select("title_key", "paper_id", n.alias("n"), F.xxhash64(F.slice(words, F.lit(1), n)).alias("lead"))
+    sizes = [r[0] for r in titled.select("n").distinct().collect()]
+    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
+    leads = let(F.split("raw", " "), lambda w: F.array_distinct(F.flatten(F.array(*[runs(w, k) for k in sizes])))) if sizes else F.array().cast("array<bigint>")
+    met = rest.select("ref_id", F.explode(leads).alias("lead")).join(titled, "lead").select(F.col("ref_id").alias("_ref"), "paper_id", "title_key")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    titled = library.filter(F.length("title_key") >= min_title).select("paper_id", "title_key", lead(F.col("title_key")).alias("lead"))
     contained = (
-        references.select("ref_id", "raw", F.explode(F.array_distinct(starts)).alias("lead")).join(titled, "lead")
-        .filter(F.contains(padded("raw"), padded("title_key"))).select("ref_id", "paper_id", F.lit(3).alias("rank"), F.length("title_key").alias("size"))
+        met.join(rest, F.col("_ref").eqNullSafe(F.col("ref_id"))).filter(F.contains(padded("raw"), padded("title_key")))
+        .groupBy("ref_id").agg(F.min(F.struct(F.lit(3).alias("rank"), (-F.length("title_key")).alias("size"), "paper_id")).alias("m"))
     )
-    found = by("doi", 1).unionByName(by("arxiv_id", 2)).unionByName(contained)
-    best = found.groupBy("ref_id").agg(F.min(F.struct("rank", (-F.col("size")).alias("size"), "paper_id")).alias("m"))
-    return best.select("ref_id", "m.paper_id", "m.rank")
+    return known.unionByName(contained).select("ref_id", "m.paper_id", "m.rank")
 
 
 def contact_candidates(people: DataFrame, wanted: DataFrame) -> DataFrame:
