@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.search import postings
+from corpusloom.operators.search import id_sizes, postings, term_counts
+from corpusloom.storage import cut
+
+#: Words of two chunks or more that are broadcast with their counts; more of them are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 
 
 def hit_at(rank: Column, k: int) -> Column:
@@ -41,9 +45,14 @@ def summary(outcome: DataFrame, by: str) -> DataFrame:
 
 
 def probe_keywords(chunks: DataFrame, n: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k words of each chunk with the largest tf * ln(1 + n / df), ties by length, then word."""
-    tf = postings(chunks, id_col, text_col)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").select("id", "term", F.round(F.col("tf") * F.log(1 + F.lit(float(n)) / F.col("df")), 6).alias("score"))
+    """The k words of each chunk with the largest tf * ln(1 + n / df), ties by length, then word.
+
+    Words are counted within their row unless an id has several rows. A word that no other chunk has needs no entry among
+    the counts, so that they can be broadcast; then k rows a chunk and task are shuffled, not every word."""
+    texts = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    tf = postings(chunks, id_col, text_col) if id_sizes(texts)[0] else term_counts(texts).drop("dl")
+    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1"))
+    df = F.broadcast(df) if df.count() <= BROADCAST_WORDS else df
+    scored = tf.join(df, "term", "left").select("id", "term", F.round(F.col("tf") * F.log(1 + F.lit(float(n)) / F.coalesce("df", F.lit(1))), 6).alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(F.length("term")), "term")
     return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).drop("k")
