@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from corpusloom.operators.segment import windows
+from corpusloom.operators.segment import in_pieces, windows
 
 #: A page that ends like this has finished its sentence; the rest of a sentence is this much at most.
 OPEN_END, REST = r"""[.!?:;)\]"'”’]\s*$""", 400
@@ -126,13 +126,13 @@ def rest_of_sentence(text: str) -> str:
 
 @F.pandas_udf(TY.StringType())
 def _rest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
+    for s in in_pieces(texts):
         yield s.map(lambda t: rest_of_sentence(t) if t else "")
 
 
 @F.pandas_udf(TY.StringType())
 def _last(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
+    for s in in_pieces(texts):
         yield pd.Series([last_heading(t) if t else None for t in s], dtype="object")
 
 
@@ -169,7 +169,7 @@ def structured_chunks(pages: DataFrame, size: int = 600, overlap: int = 100, con
 
     @F.pandas_udf(TY.ArrayType(TY.StringType()))
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, headings in parts:
+        for texts, headings in in_pieces(parts):
             yield pd.Series([page_chunks(t, h if isinstance(h, str) else None, size, overlap) for t, h in zip(texts, headings)])
 
     out = rows.select("document_id", "page_number", F.posexplode(cut("text", "_heading")).alias("chunk_index", "text"))
