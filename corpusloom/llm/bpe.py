@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain, islice, repeat
 
 import pyarrow as pa
 import regex
@@ -30,6 +30,8 @@ from corpusloom.llm.common import by_ids, lean, table
 CACHED, CACHED_CHARS = 100_000, 64
 #: Symbols that the transducer takes in at a time beyond its lookahead, and characters of text split at a time.
 STEP, SLICE = 256, 1 << 16
+#: The rank of a pair that no merge joins.
+NO_RULE = 1 << 30
 
 # Code points that the tokenizers library holds to be neither letters nor numbers (its classes are those of
 # Unicode 16), whatever a later version of the regex module says of them.
@@ -95,10 +97,13 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in (self.ids | self.special).items()}
         self.symbols = byte_symbols()
+        self.starts, self.ends = ([self.ids[c + e] for c in self.symbols] for e in ("", self.end))
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         for rank, (a, b) in enumerate(merges):
             self.pairs.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        self.ranks = {pair: rank for pair, (rank, _) in self.pairs.items()}
+        self.made = dict(self.pairs.values())
         self.lookahead = self._lookahead()
         self.splitter = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -122,33 +127,26 @@ class Vocabulary:
         return max(reach.values(), default=0)
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Apply the merges to a short run of symbols, lowest rank first, leftmost first."""
-        symbols, pairs = list(symbols), self.pairs
-        while len(symbols) > 1:
-            best, found = None, None
-            for pair in zip(symbols, symbols[1:]):
-                rule = pairs.get(pair)
-                if rule is not None and (best is None or rule[0] < best[0]):
-                    best, found = rule, pair
-            if best is None:
-                break
-            a, b = found
-            out, k, n = [], 0, len(symbols)
-            while k < n:
-                if k + 1 < n and symbols[k] == a and symbols[k + 1] == b:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
+        """Apply the merges to a short run of symbols, lowest rank first, leftmost first.
+
+        The ranks of adjacent pairs stand beside the symbols, and a merge changes those of its two neighbours only."""
+        symbols, rank, made = list(symbols), self.ranks.get, self.made
+        ranks = list(map(rank, zip(symbols, symbols[1:]), repeat(NO_RULE)))
+        while ranks and (best := min(ranks)) != NO_RULE:
+            k = ranks.index(best)
+            symbols[k : k + 2] = (made[best],)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((symbols[k - 1], symbols[k]), NO_RULE)
+            if k < len(ranks):
+                ranks[k] = rank((symbols[k], symbols[k + 1]), NO_RULE)
         return symbols
 
     def to_symbols(self, piece: str) -> Iterator[int]:
         """The starting symbols of a piece, one a byte; the last carries the end mark if the file has one."""
-        raw, ids, names = piece.encode("utf-8", "surrogatepass"), self.ids, self.symbols
-        for k, b in enumerate(raw, 1):
-            yield ids[names[b] + self.end] if k == len(raw) else ids[names[b]]
+        raw = piece.encode("utf-8", "surrogatepass")
+        last = max(0, len(raw) - 1)
+        return chain(map(self.starts.__getitem__, islice(raw, last)), map(self.ends.__getitem__, raw[last:]))
 
 
 class Transducer:
@@ -158,40 +156,51 @@ class Transducer:
         self.v = vocabulary
         self.width = {i: len(s.removesuffix(vocabulary.end)) if vocabulary.end else len(s) for s, i in vocabulary.ids.items()}
 
-    def run(self, symbols: Iterable[int]) -> Iterator[int]:
-        kept: list[int] = []
+    def run(self, symbols: Iterable[int]) -> Iterable[int]:
+        """Takes in symbols up to a step beyond the lookahead; an input that ends before that is stable as a whole."""
+        source = iter(symbols)
         room = self.v.lookahead + STEP
-        for s in symbols:
-            kept.append(s)
-            if len(kept) >= room:
-                at = 0
-                for t in self.v.merge(kept):
-                    w = self.width[t]
-                    if at + w + self.v.lookahead > len(kept):
-                        break
-                    yield t
-                    at += w
-                kept = kept[at:]
-                if not at:  # a token longer than a step: take more in
-                    room += STEP
+        kept = list(islice(source, room))
+        return self.v.merge(kept) if len(kept) < room else self.stream(kept, source, room)
+
+    def stream(self, kept: list[int], source: Iterator[int], room: int) -> Iterator[int]:
+        """The tokens that no symbol beyond the lookahead can change, emitted before more is taken in."""
+        while len(kept) >= room:
+            at = 0
+            for t in self.v.merge(kept):
+                w = self.width[t]
+                if at + w + self.v.lookahead > len(kept):
+                    break
+                yield t
+                at += w
+            kept = kept[at:]
+            if not at:  # a token longer than a step: take more in
+                room += STEP
+            kept += islice(source, room - len(kept))
         yield from self.v.merge(kept)
 
 
 class Words(dict):
-    """Piece -> (number of tokens, ids as text, token strings); bounded, refilled by the transducer."""
+    """Piece -> (ids as text, token strings); bounded, refilled by the transducer.
+
+    A full table becomes the older one, from which pieces that come again are taken back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v, self.transducer = vocabulary, Transducer(vocabulary)
+        self.older: dict[str, tuple[str, str]] = {}
 
-    def ids_of(self, piece: str) -> Iterator[int]:
+    def ids_of(self, piece: str) -> Iterable[int]:
         return self.transducer.run(self.v.to_symbols(piece))
 
-    def __missing__(self, piece: str) -> tuple[int, str, str, tuple[int, ...]]:
-        ids = tuple(self.ids_of(piece))
-        found = len(ids), " ".join(map(str, ids)), " ".join(map(self.v.names.__getitem__, ids)), ids
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        found = self.older.pop(piece, None)
+        if found is None:
+            ids = list(self.ids_of(piece))
+            found = " ".join(map(str, ids)), " ".join(map(self.v.names.__getitem__, ids))
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -236,14 +245,14 @@ class Encoder:
             to += 1
         return len(text)
 
-    def encode(self, text: str | None) -> Iterator[list[tuple]]:
-        """Word entries (count, ids as text, token strings, ids), some at a time."""
+    def encode(self, text: str | None) -> Iterator[list[tuple[str, str]]]:
+        """Word entries (ids as text, token strings), some at a time."""
         at = 0
         for m in self.v.splitter.finditer(text or "") if self.v.splitter else ():
             for some in self.pieces(text[at : m.start()]):
                 yield list(map(self.words.__getitem__, some))
             i = self.v.special[m[0]]
-            yield [(1, str(i), m[0], (i,))]
+            yield [(str(i), m[0])]
             at = m.end()
         for some in self.pieces((text or "")[at:]):
             yield list(map(self.words.__getitem__, some))
@@ -251,7 +260,7 @@ class Encoder:
     def ids(self, text: str | None) -> Iterator[int]:
         for some in self.encode(text):
             for entry in some:
-                yield from entry[3]
+                yield from map(int, entry[0].split(" "))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text; both texts are hashed as they arise."""
@@ -259,9 +268,10 @@ class Encoder:
         decoded = hashlib.sha256()
         for some in self.encode(text):
             if some:
-                ids.update(((" " if n else "") + " ".join(map(itemgetter(1), some))).encode())
-                decoded.update(decoder.surfaces(" ".join(map(itemgetter(2), some))).encode())
-                n += sum(map(itemgetter(0), some))
+                said, names = map(" ".join, zip(*some))
+                ids.update(((" " if n else "") + said).encode())
+                decoded.update(decoder.surfaces(names).encode())
+                n += said.count(" ") + 1
         decoded.update(decoder.end().encode())
         return n, ids.hexdigest(), decoded.hexdigest()
 

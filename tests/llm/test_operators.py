@@ -629,6 +629,40 @@ def test_line_dedup_clashing_columns_and_long_lines(spark):
     assert {(r.doc_id, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == {(0, 0), (1, 1), (2, 0), (3, BASE.count("\n") + 1), (4, 0)}
 
 
+def test_bpe_merges_cost_little(monkeypatch):
+    """A merge looks at its neighbours only, and a word that left the full table is not encoded again when it comes back."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, ours = Tokenizer.from_file(path), bpe.Encoder(bpe.tokenizer_bytes(path))
+    rng = random.Random(4)
+    for n in [*range(1, 40), 300, 795, 796, 797, 3000]:
+        for letters in ("abn", "aeinrst", "the quick é漢'll 12"):
+            text = "".join(rng.choices(letters, k=n))
+            assert list(ours.ids(text)) == lib.encode(text, add_special_tokens=False).ids, text
+
+    looked = []
+
+    class Counted(dict):
+        def get(self, *a):
+            looked.append(a)
+            return super().get(*a)
+
+    ours.v.ranks = Counted(ours.v.ranks)
+    symbols = list(ours.v.to_symbols("internationalisation" * 10))
+    assert len(ours.v.merge(symbols)) < len(looked) < 3 * len(symbols)
+
+    monkeypatch.setattr(bpe, "CACHED", 8)
+    runs, run = [], ours.words.transducer.run
+    ours.words.transducer.run = lambda symbols: runs.append(1) or run(symbols)
+    ours.words.clear()
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    first = list(ours.ids(text))
+    before = len(runs)
+    assert list(ours.ids("iota " + text))[-len(first) :] == first and len(runs) == before + 1
+
+
 def test_bpe_every_code_point():
     """Letters, numbers and lowering are the library's for every code point."""
     import public_tokenizers
