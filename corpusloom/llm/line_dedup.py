@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, let, table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 4_000_000
 #: A set that has settled so many others is compared with all open ones that share a prefix word with it.

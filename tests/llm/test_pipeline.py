@@ -37,3 +37,11 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(left) == set(range(20)) | {23, 24}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "decontaminate", "bpe"]
+
+
+def test_rarity_is_small_in_plans(spark):
+    """Plans hold the counts of words as text, and Spark keeps the text of each plan on the driver."""
+    from corpusloom.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "one word and another\nand one")], "doc_id long, text string")
+    assert len(",".join(map(str, line_dedup.rarity(docs, "text")))) < 64_000
