@@ -35,6 +35,10 @@ BROADCAST_LINES = 4_000_000
 CENTRE = 8
 #: Parts (a power of two) in which the postings are joined, one after another, so that only one part's shuffle is on disk.
 PARTS = 2
+#: Prefix words of centres that may be broadcast (some 60 bytes each, so 12 MB); beyond it they are joined by parts.
+CENTRE_WORDS = 200_000
+#: What is compared of a set before its words.
+ROW = ["doc_id", "line_no", "n", "bits", "more_bits"]
 #: Masks of the bitmaps: each of 128 kinds of words has one bit in one of them, as signed longs.
 HALVES = {
     name: [(1 << k % 64) - (1 << 64 if k % 64 == 63 else 0) if k // 64 == half else 0 for k in range(128)]
@@ -70,8 +74,9 @@ def token_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
     """Adds `toks`, the sorted distinct words of column `line` (in lower case): 7 bits of rarity, then 56 bits of hash."""
     known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
     hashes = F.transform(F.array_remove(tokens_of(F.col("line")), ""), lambda w: F.xxhash64(w))
+    rank = lambda h: F.coalesce(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))  # noqa: E731 - no nulls, so that longs are sorted as such
     # A second lambda, since an expression that a lambda names twice is computed twice.
-    codes = F.transform(hashes, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56) + F.shiftrightunsigned(h, 8))
+    codes = F.transform(hashes, lambda h: F.shiftleft(rank(h), 56) + F.shiftrightunsigned(h, 8))
     return lines.withColumn("toks", F.sort_array(F.array_distinct(codes)))
 
 
@@ -137,14 +142,27 @@ def first_of_pivot(sets: DataFrame) -> DataFrame:
     return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
 
 
-def centre_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of an open set and an earlier one that has settled CENTRE others or more and shares a prefix word with it."""
-    centres = settled.groupBy("a_doc", "a_line").agg(F.count("*").alias("m")).filter(F.col("m") >= CENTRE)
-    row = ["doc_id", "line_no", "n", "bits", "more_bits"]
-    a = centres.join(sets, (F.col("a_doc") == F.col("doc_id")) & (F.col("a_line") == F.col("line_no"))).select(*row, F.explode("prefix").alias("word"))
-    b = sets.filter("settled IS NULL").select(*row, F.explode("prefix").alias("word"))
-    met = b.alias("b").join(a.alias("a"), (F.col("b.word") == F.col("a.word")) & later("b", "a") & bounded("a", "b"))
-    return met.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
+def centres(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """The sets that have settled CENTRE others or more, once for each of their prefix words."""
+    many = settled.groupBy("a_doc", "a_line").agg(F.count("*").alias("m")).filter(F.col("m") >= CENTRE)
+    found = many.join(sets, (F.col("a_doc") == F.col("doc_id")) & (F.col("a_line") == F.col("line_no")))
+    return found.select(*ROW, F.explode("prefix").alias("word"))
+
+
+def centre_pairs(sets: DataFrame, marks: DataFrame, words: DataFrame) -> list[DataFrame]:
+    """Pairs of a set that is not of `marks` and an earlier centre that shares a prefix word with it.
+
+    Open sets are not shuffled where the centres' words are few; else the pairs are made in parts of the words."""
+    if marks.count() <= BROADCAST_LINES:
+        marks = F.broadcast(marks)
+    b = sets.join(marks, "mark", "left_anti").select(*ROW, F.explode("prefix").alias("word"))
+    if words.count() <= CENTRE_WORDS:
+        parts = [(b, F.broadcast(words))]
+    else:
+        mine = [F.col("word").bitwiseAND(F.lit(PARTS - 1)) == part for part in range(PARTS)]
+        parts = [(b.filter(m), words.filter(m)) for m in mine]
+    met = [b.alias("b").join(a.alias("a"), (F.col("b.word") == F.col("a.word")) & later("b", "a") & bounded("a", "b")) for b, a in parts]
+    return [m.select(F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line"), F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct() for m in met]
 
 
 def flagged(sets: DataFrame, marks: DataFrame) -> DataFrame:
@@ -203,13 +221,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = scratch.put("pivots", first_of_pivot(sets))
     settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
     marks = scratch.put("settled_marks", settled.select("mark").distinct())
-    first_open = scratch.put("first_open", flagged(sets, marks))
-    scratch.drop("pivots", "sets")
-    pairs = scratch.put("centres", centre_pairs(first_open, settled))
-    by_centre = verified(scratch, "by_centre", pairs, docs, ranks, id_col, text_col)
+    scratch.drop("pivots")
+    words, parts = scratch.put("centres", centres(sets, settled)), []
+    for part, pairs in enumerate(centre_pairs(sets, marks, words)):
+        parts.append(scratch.put(f"centre_pairs_{part}", pairs))
+        del pairs  # with its shuffle
+        scratch.drop()
+    by_centre = verified(scratch, "by_centre", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
     marks = scratch.put("all_marks", marks.unionByName(by_centre.select("mark")).distinct())
-    sets = scratch.put("opened", flagged(first_open.drop("settled"), marks))
-    scratch.drop("centres", "first_open", "settled_marks")
+    sets = scratch.put("opened", flagged(sets, marks))
+    scratch.drop("centres", "sets", "settled_marks", *(f"centre_pairs_{part}" for part in range(len(parts))))
     parts = []
     for part in range(PARTS):
         parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, part)))

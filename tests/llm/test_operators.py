@@ -629,6 +629,26 @@ def test_line_dedup_clashing_columns_and_long_lines(spark):
     assert {(r.doc_id, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == {(0, 0), (1, 1), (2, 0), (3, BASE.count("\n") + 1), (4, 0)}
 
 
+def test_centres_are_met_without_a_shuffle(spark, monkeypatch):
+    """Few centres go to the open sets; many meet them by parts, and either way the same lines go."""
+    rng = random.Random(6)
+    core = [f"w{k}" for k in range(30)]
+    lines = [" ".join(rng.sample(core, 28) + [f"x{k % 7}"]) for k in range(60)] + [" ".join(rng.choices(core, k=9)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string")
+    few = {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
+    sets = docs.selectExpr("doc_id", "0 AS line_no", "doc_id AS mark", "1 AS n", "0L AS bits", "0L AS more_bits", "array(1, 2) AS prefix")
+    marks = docs.selectExpr("doc_id AS mark").filter("mark < 9")
+    words = line_dedup.centres(sets, spark.range(9).selectExpr("0L AS a_doc", "0 AS a_line"))
+    assert words.count() == 2
+    (pairs,) = line_dedup.centre_pairs(sets, marks, words)
+    joined = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in joined and pairs.count() == len(lines) - 9
+    monkeypatch.setattr(line_dedup, "CENTRE_WORDS", 0)
+    parts = line_dedup.centre_pairs(sets, marks, words)
+    assert len(parts) == line_dedup.PARTS and sum(p.count() for p in parts) >= len(lines) - 9
+    assert few and few == {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
+
+
 def test_bpe_merges_cost_little(monkeypatch):
     """A merge looks at its neighbours only, and a word that left the full table is not encoded again when it comes back."""
     import public_tokenizers
