@@ -649,6 +649,18 @@ def test_centres_are_met_without_a_shuffle(spark, monkeypatch):
     assert few and few == {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
 
 
+def test_words_without_a_pattern(monkeypatch):
+    """Texts are cut into the pattern's words by a table of bytes, unless they hold other breaks than ASCII ones."""
+    rng, term = random.Random(5), decontaminate.TERM
+    letters = "abÄß9_é漢٣ \t\n\x1c\x7f-.,'\"²İ"
+    texts = ["", "".join(map(chr, range(256)))] + ["".join(rng.choices(letters + other, k=60)) for other in ("", "—“”", "\xa0\x85\u2028\u3000\u0301\ud800") for _ in range(200)]
+    for text in texts:
+        assert decontaminate.words_of(text) == term.findall(text.lower()), text
+    monkeypatch.setattr(decontaminate, "TERM", None)
+    assert decontaminate.words_of("Öl-Preis, x_1\n4,5 'Tag'") == ["öl", "preis", "x_1", "4", "5", "tag"]
+    assert decontaminate.words_of(None) == []
+
+
 def test_bpe_merges_cost_little(monkeypatch):
     """A merge looks at its neighbours only, and a word that left the full table is not encoded again when it comes back."""
     import public_tokenizers
