@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, let, table
+from corpusloom.llm.common import BROADCAST_IDS, Scratch, let, table
 
 BUCKETS = 1 << 14
 #: Removed lines that may be broadcast (about 16 bytes each, so 64 MB); beyond it they are joined by a shuffle.
@@ -49,10 +49,16 @@ BAND = 25 / 16
 BLANK = " \t\n\x0b\x0c\r"
 
 
+def plain(text):
+    """A text column with spaces for its separators but line feeds. contains() looks for one at a small part of the cost of a replace()."""
+    others, spaced = BLANK[1:].replace("\n", ""), text
+    for c in others:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.when(reduce(lambda a, b: a | b, (text.contains(c) for c in others)), spaced).otherwise(text)
+
+
 def tokens_of(text):
-    """The words of a text column, '' where there are two separators. Each replace() only scans where there is nothing to replace."""
-    for c in BLANK[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
+    """The words of a plain text column of one line, '' where there are two spaces."""
     return F.split(text, " ", -1)
 
 
@@ -62,7 +68,8 @@ def worded(line):
 
 def rarity(docs: DataFrame, text_col: str) -> list[int]:
     """For each hash bucket the logarithm (4 log2) of the count of its words over all documents."""
-    word = docs.select(F.explode(tokens_of(F.lower(text_col))).alias("w")).filter("w <> ''")
+    line = F.replace(F.lower(plain(F.col(text_col))), F.lit("\n"), F.lit(" "))
+    word = docs.select(F.explode(tokens_of(line)).alias("w")).filter("w <> ''")
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("k")).agg(F.count("*").alias("c"))
     ranks = [0] * BUCKETS
     for k, c in counts.select("k", F.least(F.lit(120), F.floor(4 * F.log2(F.col("c") + 1))).cast("int")).collect():
@@ -70,14 +77,18 @@ def rarity(docs: DataFrame, text_col: str) -> list[int]:
     return ranks
 
 
-def token_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """Adds `toks`, the sorted distinct words of column `line` (in lower case): 7 bits of rarity, then 56 bits of hash."""
-    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
-    hashes = F.transform(F.array_remove(tokens_of(F.col("line")), ""), lambda w: F.xxhash64(w))
-    rank = lambda h: F.coalesce(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))  # noqa: E731 - no nulls, so that longs are sorted as such
-    # A second lambda, since an expression that a lambda names twice is computed twice.
-    codes = F.transform(hashes, lambda h: F.shiftleft(rank(h), 56) + F.shiftrightunsigned(h, 8))
-    return lines.withColumn("toks", F.sort_array(F.array_distinct(codes)))
+def token_sets(lines: DataFrame) -> DataFrame:
+    """Adds `toks`, the sorted hashes of the distinct words of column `line` (plain and in lower case)."""
+    hashes = F.transform(tokens_of(F.col("line")), lambda w: F.xxhash64(w))
+    # array_except() drops '' and all but one of equal words; it is compiled, which what stands below a lambda is not.
+    return lines.withColumn("toks", F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))))
+
+
+def by_rarity(toks, ranks: list[int]):
+    """The words of a set, the rarest first: 7 bits of rarity, then 56 bits of hash."""
+    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    rank = lambda h: F.coalesce(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))  # noqa: E731 - no nulls, so that longs are sorted as such
+    return F.sort_array(F.transform(toks, lambda h: F.shiftleft(rank(h), 56) + F.shiftrightunsigned(h, 8)))
 
 
 def parity(toks, masks: list[int]):
@@ -87,9 +98,9 @@ def parity(toks, masks: list[int]):
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) of the lines that have a word, in lower case."""
-    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("line_no", "line"))
-    return lines.filter(worded(F.col("line")))
+    """(doc_id, line_no, line) of the lines that have a word, plain and in lower case."""
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(plain(F.col(text_col)), "\n", -1)).alias("line_no", "line"))
+    return lines.filter(F.trim("line") != "").withColumn("line", F.lower("line"))
 
 
 def apart(a: str, b: str):
@@ -105,22 +116,22 @@ def bounded(a: str, b: str):
 
 
 def chosen_lines(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) of the lines at given places, in lower case; a map over documents where the places are few."""
+    """(doc_id, line_no, line) of the lines at given places, plain and in lower case; a map over documents where the places are few."""
     places, doc = f"places_{uuid.uuid4().hex}", f"doc_{uuid.uuid4().hex}"
     lists = ends.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(places))
     if ends.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    lines = F.split(F.lower(text_col), "\n", -1)
+    lines = F.split(plain(F.col(text_col)), "\n", -1)
     found = let(lines, lambda x: F.transform(F.col(places), lambda k: F.struct(k.alias("line_no"), F.get(x, k).alias("line"))))
     joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).join(lists, F.col("doc_id") == F.col(doc))
-    return joined.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.line_no", "l.line").filter("line is not null")
+    return joined.select("doc_id", F.explode(found).alias("l")).filter("l.line is not null").select("doc_id", "l.line_no", F.lower("l.line").alias("line"))
 
 
-def verified(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
+def verified(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(mark, a_doc, a_line) of the pairs (b_doc, b_line, a_doc, a_line) that are similar on the whole sets, mark being b's."""
     ends = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
     ends = scratch.put(f"{name}_ends", ends)
-    sets = scratch.put(f"{name}_sets", token_sets(chosen_lines(docs, ends, id_col, text_col), ranks).select("doc_id", "line_no", "toks"))
+    sets = scratch.put(f"{name}_sets", token_sets(chosen_lines(docs, ends, id_col, text_col)).select("doc_id", "line_no", "toks"))
     side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("toks").alias(f"{x}_toks"))
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
     good = 9 * F.size(F.array_intersect("a_toks", "b_toks")) >= 4 * (F.size("a_toks") + F.size("b_toks"))
@@ -145,6 +156,8 @@ def first_of_pivot(sets: DataFrame) -> DataFrame:
 def centres(sets: DataFrame, settled: DataFrame) -> DataFrame:
     """The sets that have settled CENTRE others or more, once for each of their prefix words."""
     many = settled.groupBy("a_doc", "a_line").agg(F.count("*").alias("m")).filter(F.col("m") >= CENTRE)
+    if many.count() <= BROADCAST_LINES:
+        many = F.broadcast(many)
     found = many.join(sets, (F.col("a_doc") == F.col("doc_id")) & (F.col("a_line") == F.col("line_no")))
     return found.select(*ROW, F.explode("prefix").alias("word"))
 
@@ -167,10 +180,10 @@ def centre_pairs(sets: DataFrame, marks: DataFrame, words: DataFrame) -> list[Da
 
 def flagged(sets: DataFrame, marks: DataFrame) -> DataFrame:
     """sets with `settled` true for those of some marks."""
-    known = marks.withColumn("settled", F.lit(True))
+    known = marks.withColumn("known", F.lit(True))
     if marks.count() <= BROADCAST_LINES:
         known = F.broadcast(known)
-    return sets.join(known, "mark", "left")
+    return sets.join(known, "mark", "left").withColumn("settled", F.coalesce("known", F.lit(False))).drop("known")
 
 
 def prefix_pairs(sets: DataFrame, part: int) -> DataFrame:
@@ -208,18 +221,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, line_no) of every line that is similar to an earlier one; line numbers count from 0."""
     scratch = Scratch(docs.sparkSession, "line_dedup")
     ranks = rarity(docs, text_col)
-    n = F.size("toks")
-    base = scratch.put(
-        "base",
-        token_sets(lines_of(docs, id_col, text_col), ranks).select(
-            "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"),
-            *(parity("toks", masks).alias(name) for name, masks in HALVES.items()),
-            F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / F.lit(5)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        ),
+    n, ordered = F.size("toks"), F.size("ordered")
+    worded_sets = token_sets(lines_of(docs, id_col, text_col)).select(
+        "doc_id", "line_no", n.alias("n"), F.xxhash64("toks").alias("mark"), *(parity("toks", masks).alias(name) for name, masks in HALVES.items()),
+        by_rarity(F.col("toks"), ranks).alias("ordered"),
     )
-    sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits", "prefix")).alias("r")).select("mark", "r.*"))
+    prefix = F.slice("ordered", 1, ordered - F.floor((4 * ordered + 4) / F.lit(5)).cast("int") + 1)
+    base = scratch.put("base", worded_sets.select(*ROW, "mark", F.transform(prefix, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix")))
+    sets = scratch.put("sets", base.groupBy("mark").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "more_bits", "prefix")).alias("r"), F.count("*").alias("copies")).select("mark", "copies", "r.*"))
     pairs = scratch.put("pivots", first_of_pivot(sets))
-    settled = verified(scratch, "settled", pairs, docs, ranks, id_col, text_col)
+    settled = verified(scratch, "settled", pairs, docs, id_col, text_col)
     marks = scratch.put("settled_marks", settled.select("mark").distinct())
     scratch.drop("pivots")
     words, parts = scratch.put("centres", centres(sets, settled)), []
@@ -227,24 +238,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts.append(scratch.put(f"centre_pairs_{part}", pairs))
         del pairs  # with its shuffle
         scratch.drop()
-    by_centre = verified(scratch, "by_centre", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
+    by_centre = verified(scratch, "by_centre", reduce(DataFrame.unionByName, parts).distinct(), docs, id_col, text_col)
     marks = scratch.put("all_marks", marks.unionByName(by_centre.select("mark")).distinct())
-    sets = scratch.put("opened", flagged(sets, marks))
-    scratch.drop("centres", "sets", "settled_marks", *(f"centre_pairs_{part}" for part in range(len(parts))))
+    scratch.drop("centres", "settled_marks", *(f"centre_pairs_{part}" for part in range(len(parts))))
     parts = []
     for part in range(PARTS):
-        parts.append(scratch.put(f"pairs_{part}", prefix_pairs(sets, part)))
+        parts.append(scratch.put(f"pairs_{part}", prefix_pairs(flagged(sets, marks), part)))
         scratch.drop()
-    more = verified(scratch, "more", reduce(DataFrame.unionByName, parts).distinct(), docs, ranks, id_col, text_col)
+    more = verified(scratch, "more", reduce(DataFrame.unionByName, parts).distinct(), docs, id_col, text_col)
     scratch.drop(*(f"pairs_{part}" for part in range(PARTS)))
-    more = more.select("mark").distinct()
-    gone = more.withColumn("gone", F.lit(True))
-    if more.count() <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
-    fate = sets.join(gone, "mark", "left").select("mark", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("settled", "gone", F.lit(False)).alias("gone"))
+    gone = scratch.put("gone", marks.unionByName(more.select("mark")).distinct())
+    # Most sets are those of one line that stays, so few have to meet the lines again.
+    fate = flagged(sets.select("mark", "copies", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line")), gone)
+    fate = scratch.put("fate", fate.filter(F.col("settled") | (F.col("copies") > 1)).drop("copies"))
+    if fate.count() <= BROADCAST_IDS:
+        fate = F.broadcast(fate)
     here = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("gone") | ~here).select("doc_id", "line_no").distinct())
-    scratch.drop("base", "opened", "settled", "by_centre", "all_marks", "more")
+    found = scratch.put("removed", base.select("doc_id", "line_no", "mark").join(fate, "mark").filter(F.col("settled") | ~here).select("doc_id", "line_no").distinct())
+    scratch.drop("base", "sets", "settled", "by_centre", "all_marks", "more", "gone", "fate")
     return found
 
 

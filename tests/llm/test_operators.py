@@ -5,6 +5,7 @@ Each gets nulls, empty and long texts, ties, repeated rows, empty tables and ext
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, calibration, decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, warc
+from corpusloom.llm import bpe, calibration, common, decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, warc
 from corpusloom.llm.components import connected_components
 
 WORDS = [f"{a}{b}" for a in ("ba", "ko", "mi", "tur", "sel", "van") for b in ("ne", "lo", "ra", "st", "un", "", "dim", "pe")]
@@ -649,6 +650,32 @@ def test_centres_are_met_without_a_shuffle(spark, monkeypatch):
     assert few and few == {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
 
 
+def test_scratch_leaves_no_shuffle_files(spark):
+    """A written table's shuffle is gone as the write ends, without a wait for the driver's garbage collection."""
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()))
+    scratch, before = common.Scratch(spark, "files"), files()
+    query = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    counts = scratch.put("counts", query)
+    end = time.time() + 5
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and counts.count() == 100
+    assert spark.conf.get(common.CLEANUP, None) in (None, "false")
+
+
+def test_line_dedup_separators_and_few_comparisons_of_places(spark, monkeypatch):
+    """Words part at every separator, in any mix; only sets of several lines or that go meet the lines again, by either join."""
+    rng = random.Random(8)
+    texts = ["".join(w + rng.choice([" ", "  ", "\t", "\x0b", "\x0c", "\r", "\n"]) for w in prose(14).split()) for _ in range(40)] + ["Été \t ÉTÉ été\r\n", " \r", "\x0b\n\t"]
+    texts += [t.replace("\t", " ").upper() for t in texts[:20]]
+    docs, want = frame(spark, texts), brute_lines(enumerate(texts))
+    plan = line_dedup.lines_of(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan or "contains(" in plan.lower()
+    for limit in (line_dedup.BROADCAST_IDS, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", limit)
+        assert {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs).collect()} == want
+
+
 def test_words_without_a_pattern(monkeypatch):
     """Texts are cut into the pattern's words by a table of bytes, unless they hold other breaks than ASCII ones."""
     rng, term = random.Random(5), decontaminate.TERM
